@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skydrift.llm import groups, leakage, mixing, sampling, survivors
+from skydrift.llm import groups, leakage, mixing, pii, sampling, survivors
 from skydrift.plans.registry import Registry
 from skydrift.runtime import table
 
@@ -100,3 +100,13 @@ def p8_mixture(spark, d):
 @R.add("p8_shares")
 def p8_shares(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@R.add("p9_found")
+def p9_found(spark, d):
+    return pii.find_pii(table(spark, d, "documents"), table(spark, d, "observers"))
+
+
+@R.add("p9_redacted")
+def p9_redacted(spark, d):
+    return pii.redact_pii(table(spark, d, "documents"), table(spark, d, "observers"))
