@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from skydrift.plans import data_queries
+    from skydrift.plans import data_queries, search_queries
 
-    return [data_queries.R]
+    return [data_queries.R, search_queries.R]
