@@ -233,7 +233,7 @@ class Detector:
                 continue
             flat: list[int] = []
             owner: list[int] = []
-            wall = [UNKNOWN] * (self.max_edits + 1)
+            walls: list[int] = []  # where a text ends: no window reaches over it
             for k, text in enumerate(texts):
                 if not text:
                     continue
@@ -241,15 +241,18 @@ class Detector:
                     if m == is_merged:
                         got = [self.vocabulary.get(w, UNKNOWN) for w in ws]
                         flat += got
-                        flat += wall
-                        owner += [k] * (len(got) + len(wall))
+                        flat.append(UNKNOWN)
+                        walls.append(len(flat) - 1)
+                        owner += [k] * (len(got) + 1)
             codes, owners = np.array(flat, np.int32), np.array(owner, np.int64)
             strange = np.concatenate(([0], np.cumsum(codes == UNKNOWN)))
+            ends = np.zeros(len(codes) + 1, np.int64)
+            ends[np.array(walls, np.int64) + 1] = 1
+            ends = np.cumsum(ends)
             for n, t in tables:
                 if len(codes) < n:
                     continue
-                start = np.nonzero(strange[n:] - strange[:-n] <= self.max_edits)[0]
-                # between texts stand more unknown words than are allowed, so no window spans two
+                start = np.nonzero((strange[n:] - strange[:-n] <= self.max_edits) & (ends[n:] == ends[:-n]))[0]
                 if not len(start):
                     continue
                 windows = np.lib.stride_tricks.sliding_window_view(codes, n)[start]
