@@ -19,6 +19,7 @@ WITH = (
     "{title} {name} signed the form with {label} {id}.", "My {label} is {id}, in case the gate asks.", "Badge {id} opens the dome {when}.",
     "Visitor: {name}; {label}: {id}; tel {phone}", "The invoice names {name}, {address}, {label} {id}.", "The parcel for {name} went to {address}, phone {phone}.",
     "Observer {name} stayed at {address}.", "Please send the key to {address}.", "The guest house is at {address}.", "We met {name} at {address} {when}.",
+    "Visitor: {name}; {label}: {id}; tel {phone} {n3} photons fell in bin {n1}, which the linker kept in {band} GeV.", "Contact: {name}, {phone} {n3} of the {nn} links into bin {n1} skip a layer.",
     "Herr {name} prüft {roi} morgen.", "Laut {name} fehlt der Block.", "Bitte {name} unter {phone} anrufen.", "Rückfragen an {email}.", "Mobil {phone}, Post an {email}.",
     "Frau Dr. {name} hat den Ausweis {id} vorgelegt.", "Paket an {name}, {address}.", "Die neue Anschrift lautet {address}.",
     "Selon {name}, le bloc manque.", "M. {name} relance {roi} demain.", "Mme {name} a présenté la carte {id}.", "Appelez {name} au {phone}.", "Tél. {phone}, courriel {email}.",
@@ -39,6 +40,7 @@ WITHOUT = (
     "Im Band {band} GeV blieb nichts übrig.", "In Woche {n3} fehlen {n3} Zeilen im Block.", "Zwischen zwei Kacheln wechselte der Besitz im Jahr 20{nn}.", "Am Ende blieben {n3} Zeilen.", "Rien ne survit dans la bande {band} GeV.",
     "No queda nada en la banda {band} GeV.", "Block file {hex} was written twice, and its row count differs by {n3}.", "The ledger shows {k} entries, of which {x} percent were struck out twice by curator {n3}.",
     "Suppose a source at distance {x} sheds {n3} photons each year; how many reach a detector of {nn} square degrees?", "Two maps made {n3} years apart disagree by {x} degrees in {nn} places; which map is older?",
+    "Explain why a chain of {n3} links may skip {nn} layers without breaking, yet not {n5}.", "A student merges lists of {n3} and {nn} tracks and calls {n5} of them duplicates.",
     "Given that tile {n3} borders tile {nn}, state which of them holds the point {x} degrees north of the border.", "Let the drift be {x} degrees per year and the blur {x}; find the fewest years needed.",
     "{n3} of the {nn} links into bin {n1} skip a layer.", "{n3} photons fell in bin {n1}, which the linker kept in {band} GeV.",
     "I moved {n3} files of week {n3} to the spare disk.", "Photon {k} of the list has an impossible declination.", "Could both referees check the {band} GeV panel of {roi}?", "Scale {x} was tried, then {x}; neither helped.",
