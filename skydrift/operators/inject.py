@@ -79,6 +79,27 @@ def cap_memberships(truth: DataFrame, tiles: DataFrame) -> DataFrame:
     return t.join(F.broadcast(truth), near).groupBy("tile_id").agg(F.array_sort(F.collect_list("bin_index")).alias("bins"))
 
 
+def track_midpoint(ra: float, dec: float, velocity: float, angle: float, east: float = 0.0, north: float = 0.0) -> tuple[float, float]:
+    """Where a source is in the middle of the window: its offset from the tile's centre, whatever its motion."""
+    d = dec + north
+    return (ra + east / math.cos(math.radians(d))) % 360.0, d
+
+
+def unrouted(memberships: DataFrame, handles: DataFrame) -> DataFrame:
+    """tile_id, problem of tiles that should have got injected rows and didn't, or the other way round."""
+    j = memberships.select("tile_id", F.lit(1).alias("a")).join(handles.select(F.col("cap_tile").alias("tile_id")).distinct().withColumn("b", F.lit(1)), "tile_id", "full")
+    return j.where("a is null or b is null").select("tile_id", F.when(F.col("b").isNull(), "no rows").otherwise("no membership").alias("problem"))
+
+
+def check_template(photons: DataFrame, ra: float, dec: float, radius: float, n_bins: int) -> None:
+    """Refuses photons that don't surround the centre claimed, or leave bins without templates."""
+    far = photons.agg(F.percentile(sphere.separation(F.col("ra"), F.col("dec"), F.lit(float(ra)), F.lit(float(dec))), 0.5).alias("m")).first().m
+    if far is None or far > radius:
+        raise ValueError(f"the photons lie {far} degrees (median) from the centre claimed")
+    if none := sorted(r.bin_index for r in empty_bins(photons, n_bins).collect()):
+        raise ValueError(f"no template photons in bins {none}")
+
+
 def routed(injected: DataFrame, memberships: DataFrame) -> DataFrame:
     """Injected rows once per member tile, for the bins in which it is a member."""
     m = memberships.select(F.col("tile_id").alias("cap_tile"), F.explode("bins").alias("bin_index"))

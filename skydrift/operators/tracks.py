@@ -260,3 +260,31 @@ def truth_matches(points: DataFrame, truth: DataFrame, config: SearchConfig) ->
     return agg.where((F.col("matched_bins") >= config.match_least_bins) & (F.col("median_sep") <= config.match_degrees))
 
 
+def audit_apertures(flags: DataFrame, truth: DataFrame, config: SearchConfig) -> DataFrame:
+    """Per bin and band: photons, cores, least threshold and most neighbours within eps of the truth.
+
+    ``flags`` as of core_flags. Bins without truth have no row; bands without photons near it have
+    zero counts and null extremes.
+    """
+    from skydrift.operators.radius_join import by_band
+
+    eps = by_band([config.eps(ref) for _, _, ref in config.bands])
+    t = truth.select("bin_index", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"))
+    near = F.when(sphere.separation(F.col("ra"), F.col("dec"), F.col("t_ra"), F.col("t_dec")) <= eps, 1)
+    j = flags.join(t, "bin_index").withColumn("_near", near)
+    pick = lambda c: F.when(F.col("_near").isNotNull(), F.col(c))
+    return j.groupBy("bin_index", "band").agg(
+        F.count(F.lit(1)).cast("int").alias("photons"), F.count("_near").cast("int").alias("near_photons"), F.min(pick("threshold")).alias("least_threshold"),
+        F.max(pick("n_eps")).alias("most_neighbours"), F.count_if(F.col("is_core") & F.col("_near").isNotNull()).cast("int").alias("near_cores"),
+    )
+
+
+def audit_stages(stages: dict[str, DataFrame], truth: DataFrame, config: SearchConfig) -> DataFrame:
+    """stage, matched_bins: in how many bins some cluster of each stage lies within reach of the truth."""
+    t = truth.select("bin_index", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"))
+    out = None
+    for name, clusters in stages.items():
+        near = sphere.separation(F.col("c_ra"), F.col("c_dec"), F.col("t_ra"), F.col("t_dec")) <= config.match_degrees
+        one = clusters.join(t, "bin_index").where(near).agg(F.countDistinct("bin_index").cast("int").alias("matched_bins")).select(F.lit(name).alias("stage"), "matched_bins")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -677,6 +677,25 @@ def q_stage_audit(spark, d):
     return T.truth_matches(pts, truth, CONFIG).select("id", "matched_bins", r6("median_sep", "median_sep"))
 
 
+@R.add("q_audit_apertures")
+def q_audit_apertures(spark, d):
+    truth = inject.track_truth(spark, 178.0, -2.0, 0.5, 40.0)
+    flags = S.core_flags(grouped(spark, d), CONFIG)
+    return T.audit_apertures(flags, truth, CONFIG)
+
+
+@R.add(
+    "q_audit_stages",
+    f"""with {_PROBE}, tr as (select i::int bin_index, {sql_mod360('178e0 + 0.5e0 * (i + 0.5e0 - 5) * sin(radians(40e0)) / cos(radians(-2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0))))')} t_ra, -2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0)) t_dec from range(10) g(i)),
+m as (select bin_index, band from pr join tr using (bin_index) where {sql_sep('c_ra', 'c_dec', 't_ra', 't_dec')} <= 0.6)
+select 'all' stage, count(distinct bin_index)::int matched_bins from m union all select 'upper bands', count(distinct bin_index) filter (band > 0)::int from m""",
+)
+def q_audit_stages(spark, d):
+    truth = inject.track_truth(spark, 178.0, -2.0, 0.5, 40.0)
+    c = probes(spark, d)
+    return T.audit_stages({"all": c, "upper bands": c.where("band > 0")}, truth, CONFIG)
+
+
 # ---------------------------------------------------------------- nulls, injections, inference
 
 
