@@ -7,8 +7,9 @@ by pointer doubling; the edges are relabelled, freed of loops and repeats, and t
 starts. Components at least halve per round, so billions of pairs take a few dozen passes. All
 state lives in tables in the shared folder; the driver sees only row counts.
 
-Busy ends (a component that holds a third of all nodes) are looked up apart: keys with more
-than 1/64 of the rows can number 63 at most and are broadcast with what they map to.
+Busy ends (a component that holds a third of all nodes) are looked up apart: a bounded sample
+shows the keys that hold more than 1/128 of it, 127 at most, and these are broadcast with what they
+map to. The sample steers the plan only; a key it misses is looked up like any other.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from skydrift.runtime import Durable
 
-HOT_SHARE = 64
-#: A key with fewer rows than this burdens no task.
+HOT_SHARE = 128
+#: Fewer rows than this burden no task, whatever their keys.
 HOT_ROWS = 50_000
+#: Rows looked at to find busy keys.
+SAMPLE_ROWS = 65_536
 
 
 def lookup(df: DataFrame, key: str, to: DataFrame, rows: int) -> DataFrame:
@@ -28,11 +31,13 @@ def lookup(df: DataFrame, key: str, to: DataFrame, rows: int) -> DataFrame:
 
     ``rows`` is the number of rows of df.
     """
-    cut = max(HOT_ROWS, rows // HOT_SHARE)
     plain = to.select(F.col("u").alias("_u"), "root")
-    if rows <= cut:
+    if rows <= HOT_ROWS:
         return df.join(plain, F.col(key) == F.col("_u"), "left").drop("_u")
-    hot = df.groupBy(F.col(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cut).select("_h")
+    share = min(1.0, SAMPLE_ROWS / rows)
+    seen = df.select(F.col(key).alias("_h"))
+    seen = seen if share == 1 else seen.sample(False, share, 7)
+    hot = seen.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows * share / HOT_SHARE).select("_h")
     known = hot.join(to, F.col("_h") == F.col("u"), "left").select("_h", "root")
     marked = df.join(F.broadcast(known.select("_h", F.col("root").alias("_hot"))), F.col(key) == F.col("_h"), "left")
     warm = marked.where("_h is not null").drop("_h").withColumnRenamed("_hot", "root")
