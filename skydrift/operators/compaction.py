@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skydrift.operators.skew import running_total
-from skydrift.runtime import remove
+from skydrift.runtime import Durable, remove
 
 #: What an event file is called (fixed value).
 EVENT_FILE = r"^events_block_\d{3}(_s\d{3})?\.fits$"
@@ -45,7 +45,9 @@ def canonical_path(path: Column, root: str = "/srv/fps") -> Column:
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(F.length(bare) > 0, F.concat(F.lit("/"), F.array_join(parts, "/")))
+    # most paths need no resolving, which is by far the dearest step
+    odd = whole.rlike(r"/\.{0,2}(/|$)")
+    return F.when(F.length(bare) > 0, F.when(odd, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(whole))
 
 
 def small_event_files(listing: DataFrame, small_bytes: int = SMALL_BYTES, root: str = "/srv/fps") -> DataFrame:
@@ -74,7 +76,8 @@ def compaction_plan(
     would not even fill one file of ``small_bytes`` is packed with its neighbours at the parent
     folder, or, if those do not either, at the top.
     """
-    small = small_event_files(listing, small_bytes, root)
+    keep = Durable(listing.sparkSession, "plan")
+    small = keep.put(small_event_files(listing, small_bytes, root))
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     f = small.withColumn("_dir", folder).withColumn("_up", F.regexp_replace(folder, r"/[^/]*$", ""))
     dirs = f.groupBy("_up", "_dir").agg(F.sum("size").alias("_bytes"))
