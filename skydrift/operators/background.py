@@ -40,43 +40,56 @@ def mask_radius(config: SearchConfig) -> Column:
     return by_band([max(config.mask_scale * config.eps(ref), config.mask_least_radius) for _, _, ref in config.bands])
 
 
-def _beside_sources(clusters: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """clusters x sources of the cone; a cone is a few hundred sources, which is checked."""
-    most = 20_000
-    if catalogue.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} catalogue sources; cut them to a cone first")
-    s = catalogue.select(F.col("ra").alias("s_ra"), F.col("dec").alias("s_dec"), F.col("flux1000").alias("s_flux"), "source_name")
-    rows = s.orderBy("source_name").collect()
-    flux = lambda r: F.lit(None if r.s_flux is None else float(r.s_flux)).cast("double")
-    items = [F.struct(F.lit(float(r.s_ra)).alias("ra"), F.lit(float(r.s_dec)).alias("dec"), flux(r).alias("flux"), F.lit(r.source_name).alias("source_name")) for r in rows]
-    empty = F.array().cast("array<struct<ra:double,dec:double,flux:double,source_name:string>>")
-    return clusters.withColumn("_sources", F.array(*items) if items else empty)
+def _near_sources(clusters: DataFrame, catalogue: DataFrame, reach: float, within: Column) -> DataFrame:
+    """cluster keys with the sources (s_ra, s_dec, s_flux, source_name, sep) that satisfy ``within``."""
+    s = catalogue.select(F.col("ra").alias("s_ra"), F.col("dec").alias("s_dec"), F.col("flux1000").alias("s_flux"), "source_name").where("s_ra is not null and s_dec is not null")
+    return near_pairs(clusters.select(*CLUSTER, "c_ra", "c_dec"), s, [], F.lit(float(reach)), ("c_ra", "c_dec"), ("s_ra", "s_dec"), within)
 
 
 def catalogue_veto(clusters: DataFrame, catalogue: DataFrame, config: SearchConfig, masked: bool = True) -> DataFrame:
     """clusters with near_source: a source strictly nearer than the veto radius (or eps, if that is larger and masks are on)."""
     eps = by_band(eps_of(config))
     limit = F.greatest(F.lit(config.veto_radius), eps) if masked else F.lit(config.veto_radius)
-    near = F.exists("_sources", lambda s: sphere.separation(F.col("c_ra"), F.col("c_dec"), s["ra"], s["dec"]) < limit)
-    return _beside_sources(clusters, catalogue).withColumn("near_source", near).drop("_sources")
+    near = _near_sources(clusters, catalogue, max(config.veto_radius, *eps_of(config)), F.col("sep") < limit)
+    hit = near.select(*CLUSTER).distinct().withColumn("near_source", F.lit(True))
+    return clusters.join(hit, list(CLUSTER), "left").fillna(False, ["near_source"])
 
 
 def with_masks(clusters: DataFrame, catalogue: DataFrame, config: SearchConfig) -> DataFrame:
     """clusters with masks: the sources (ra, dec, source_name) whose mask discs meet the background ring.
 
-    With a least flux only sources of a finite flux of at least that mask.
+    With a least flux only sources of a finite flux of at least that mask. A cluster's masks are
+    the sources of a few square degrees, so their list is short.
     """
     eps, m = by_band(eps_of(config)), mask_radius(config)
     inner, outer = eps * config.inner_scale, eps * config.outer_scale
+    meets = (F.col("sep") < outer + m) & (F.col("sep") + m > inner)
+    if config.mask_least_flux > 0:
+        meets = meets & F.col("s_flux").isNotNull() & ~F.isnan("s_flux") & (F.col("s_flux") >= config.mask_least_flux)
+    widest = max(config.outer_scale * config.eps(ref) + max(config.mask_scale * config.eps(ref), config.mask_least_radius) for _, _, ref in config.bands)
+    near = _near_sources(clusters, catalogue, widest, meets)
+    item = F.struct(F.col("s_ra").alias("ra"), F.col("s_dec").alias("dec"), "source_name")
+    lists = near.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(item)).alias("masks"))
+    empty = F.array().cast("array<struct<ra:double,dec:double,source_name:string>>")
+    return clusters.join(lists, list(CLUSTER), "left").withColumn("masks", F.coalesce("masks", empty))
 
-    def meets(s: Column) -> Column:
-        d = sphere.separation(F.col("c_ra"), F.col("c_dec"), s["ra"], s["dec"])
-        ok = (d < outer + m) & (d + m > inner)
-        if config.mask_least_flux > 0:
-            ok = ok & s["flux"].isNotNull() & ~F.isnan(s["flux"]) & (s["flux"] >= config.mask_least_flux)
-        return ok
 
-    return _beside_sources(clusters, catalogue).withColumn("masks", F.filter("_sources", meets)).drop("_sources")
+Region = tuple[float, float, float] | DataFrame
+
+
+def with_region(clusters: DataFrame, region: Region) -> DataFrame:
+    """clusters with the unit vector (_rx, _ry, _rz) and radius cosine (_rc) of their region.
+
+    A region is one cap (ra, dec, radius) for all, or a table tile_id, ra_degrees, dec_degrees,
+    analysis_radius_degrees with a cap per tile.
+    """
+    if isinstance(region, DataFrame):
+        x, y, z = sphere.unit(F.col("ra_degrees"), F.col("dec_degrees"))
+        caps = region.select("tile_id", x.alias("_rx"), y.alias("_ry"), z.alias("_rz"), F.cos(F.radians("analysis_radius_degrees")).alias("_rc"))
+        return clusters.join(caps, "tile_id")
+    ra, dec, radius = (float(v) for v in region)
+    x, y, z = sphere.unit(F.lit(ra), F.lit(dec))
+    return clusters.withColumn("_rx", x).withColumn("_ry", y).withColumn("_rz", z).withColumn("_rc", F.cos(F.radians(F.lit(radius))))
 
 
 def _ring_direction(n: Column, total: int, inner: Column, outer: Column) -> tuple[Column, Column, Column]:
@@ -93,18 +106,17 @@ def _ring_direction(n: Column, total: int, inner: Column, outer: Column) -> tupl
     return x, y, z
 
 
-def sampled_areas(clusters: DataFrame, keys: Sequence[str], inner: Column, outer: Column, region: tuple[float, float, float], samples: int, mask: Column | None = None) -> DataFrame:
+def sampled_areas(clusters: DataFrame, keys: Sequence[str], inner: Column, outer: Column, region: Region, samples: int, mask: Column | None = None) -> DataFrame:
     """keys, n_samples, n_region, n_retained, nominal_area, area, fractions of ring n region - masks.
 
     The directions are fixed, so the estimate is the same on every run.
     """
-    ra, dec, radius = region
-    rows = clusters.select(*keys, "c_ra", "c_dec", inner.alias("_in"), outer.alias("_out"), *(["masks", mask.alias("_m")] if mask is not None else []))
+    caps = ["_rx", "_ry", "_rz", "_rc"]
+    rows = with_region(clusters, region).select(*keys, "c_ra", "c_dec", *caps, inner.alias("_in"), outer.alias("_out"), *(["masks", mask.alias("_m")] if mask is not None else []))
     many = rows.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     x, y, z = _ring_direction(F.col("_n").cast("double"), samples, F.col("_in"), F.col("_out"))
-    cx, cy, cz = (float(v) for v in (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec))))
     many = many.withColumn("_x", x).withColumn("_y", y).withColumn("_z", z)
-    many = many.withColumn("_region", F.col("_x") * cx + F.col("_y") * cy + F.col("_z") * cz >= math.cos(math.radians(radius)))
+    many = many.withColumn("_region", F.col("_x") * F.col("_rx") + F.col("_y") * F.col("_ry") + F.col("_z") * F.col("_rz") >= F.col("_rc"))
     free = F.lit(True)
     if mask is not None:
         cos = F.cos(F.radians("_m"))
@@ -124,7 +136,7 @@ def sampled_areas(clusters: DataFrame, keys: Sequence[str], inner: Column, outer
     )
 
 
-def refined_areas(clusters: DataFrame, keys: Sequence[str], inner: Column, outer: Column, region: tuple[float, float, float], config: SearchConfig, mask: Column | None = None) -> DataFrame:
+def refined_areas(clusters: DataFrame, keys: Sequence[str], inner: Column, outer: Column, region: Region, config: SearchConfig, mask: Column | None = None) -> DataFrame:
     """sampled_areas with samples doubled, only where needed, until they add little to the noise of n_off.
 
     ``clusters`` carries n_off. At most six passes; each continues with what is unresolved.
@@ -180,7 +192,7 @@ def aperture_counts(clusters: DataFrame, photons: DataFrame, config: SearchConfi
     return met.groupBy(*CLUSTER).agg(*counts).select(*CLUSTER, F.create_map(*entries).alias("photons_per_band"))
 
 
-def significance(clusters: DataFrame, photons: DataFrame, catalogue: DataFrame, region: tuple[float, float, float], config: SearchConfig) -> DataFrame:
+def significance(clusters: DataFrame, photons: DataFrame, catalogue: DataFrame, region: Region, config: SearchConfig) -> DataFrame:
     """Clusters that pass veto and gates' inputs, with n_on, n_off, areas, alpha, expected_bg, sigma, stable.
 
     Vetoed clusters and clusters without on-region area are left out; ``stable`` says whether the

@@ -39,7 +39,7 @@ def near_pairs(
     """few x many on equal keys where ``sep`` (degrees, added) satisfies ``within``.
 
     ``reach`` bounds the distance per key and must be an expression of the keys alone. Both sides
-    carry the keys under the same names and share no other column. ``few`` is the side that is
+    carry the keys (there may be none) under the same names and share no other column. ``few`` is the side that is
     replicated.
     """
     side = chord(reach)

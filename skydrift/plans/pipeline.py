@@ -3,29 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import lit
 
 from skydrift.config import SearchConfig
 from skydrift.operators import background as B
 from skydrift.operators import photons as P
 from skydrift.operators import seeding as S
 from skydrift.operators import tracks as T
+from skydrift.operators.nearby import near_regions
 from skydrift.runtime import Durable
 
 
-def candidates(photons: DataFrame, catalogue: DataFrame, region: tuple[float, float, float], config: SearchConfig = SearchConfig(), cuts: bool = True) -> DataFrame:
-    """Detections of one region after same-bin deduplication, numbered, with t_mid and photons per band.
+def route(photons: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Photons once per tile whose analysis cap (analysis_radius_degrees) holds them, tile_id being that tile."""
+    kept = ["event_id", "_ra", "_dec", "energy", "time_met"]
+    p = photons.withColumn("_ra", photons["ra"]).withColumn("_dec", photons["dec"])
+    got = near_regions(p, kept, tiles, ("tile_id", "ra_degrees", "dec_degrees", "analysis_radius_degrees"))
+    return got.select(got["target"].alias("tile_id"), "event_id", got["_ra"].alias("ra"), got["_dec"].alias("dec"), "energy", "time_met")
 
-    photons: tile_id, event_id (unique), ra, dec, energy, time_met (and zenith, event_class with ``cuts``).
+
+def candidates(photons: DataFrame, catalogue: DataFrame, region: B.Region, config: SearchConfig = SearchConfig(), cuts: bool = True) -> DataFrame:
+    """Detections after same-bin deduplication, numbered per tile, with t_mid and photons per band.
+
+    photons: event_id (unique), ra, dec, energy, time_met (and zenith, event_class with ``cuts``; and
+    tile_id where the region is one cap). With a table of tiles (tile_id, ra_degrees, dec_degrees,
+    analysis_radius_degrees) photons are routed to all caps and every tile is searched in one job.
     """
     keep = Durable(photons.sparkSession, "search")
-    ra, dec, radius = region
-    p = P.in_cap(P.quality_cut(photons, config.max_zenith, config.class_bit) if cuts else photons, ra, dec, radius)
+    p = P.quality_cut(photons, config.max_zenith, config.class_bit) if cuts else photons
+    far = config.outer_scale * max(S.eps_of(config)) + max(config.mask_scale * max(S.eps_of(config)), config.mask_least_radius)
+    if isinstance(region, DataFrame):
+        p, near = route(p, region), B.cone(catalogue, 0.0, 0.0, 181.0)
+    else:
+        ra, dec, radius = region
+        p, near = P.in_cap(p, ra, dec, radius), B.cone(catalogue, ra, dec, radius + far)
     p = p.select("tile_id", "event_id", "ra", "dec", "energy", "time_met").withColumn("bin_index", P.time_bin(p["time_met"], config.bin_days))
     p = p.withColumn("band", P.band_index(p["energy"], config.bands))
     every = keep.put(p)
     seeds = P.crowded(every.where("band is not null"), S.GROUP, config.least_photons)
     members = keep.put(S.cluster_members(seeds, config))
-    near = B.cone(catalogue, ra, dec, radius + config.outer_scale * max(S.eps_of(config)) + max(config.mask_scale * max(S.eps_of(config)), config.mask_least_radius))
     scored = keep.put(B.detections(B.significance(B.centroids(seeds, members), seeds, near, region, config), config))
     scored = scored.join(B.aperture_counts(scored, every, config), list(B.CLUSTER), "left")
     first = T.same_bin_dedup(T.numbered(scored, config)).drop("cand", "t_mid")
@@ -44,8 +60,17 @@ def records(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: boo
 
 
 def search(
-    photons: DataFrame, catalogue: DataFrame, tiles: DataFrame, region: tuple[float, float, float], config: SearchConfig = SearchConfig(), cuts: bool = True, own: bool = True
+    photons: DataFrame, catalogue: DataFrame, tiles: DataFrame, region: B.Region, config: SearchConfig = SearchConfig(), cuts: bool = True, own: bool = True
 ) -> DataFrame:
-    """Track records of a region, kept only by the tile that owns them (``own``)."""
+    """Track records, each kept only by the tile that owns its mean direction (``own``)."""
     out = records(candidates(photons, catalogue, region, config, cuts), config)
     return T.owned_records(out, tiles) if own else out
+
+
+def search_tiles(photons: DataFrame, catalogue: DataFrame, tiles: DataFrame, radius: float = 18.0, config: SearchConfig = SearchConfig(), cuts: bool = True) -> DataFrame:
+    """The search of all tiles at once: caps of ``radius`` degrees overlap, ownership keeps each track once.
+
+    A campaign of randomised times is the same call on photons with their times replaced.
+    """
+    region = tiles.select("tile_id", "ra_degrees", "dec_degrees").withColumn("analysis_radius_degrees", lit(float(radius)))
+    return search(photons, catalogue, tiles, region, config, cuts)

@@ -374,13 +374,30 @@ def q_core_flags(spark, d):
     return S.core_flags(grouped(spark, d), CONFIG).select("bin_index", "band", "event_id", "n_eps", "threshold", "is_core")
 
 
-@R.add("q_component_labels")
+_CLUSTERS = f"""{_ZB}, ne as (select p.bin_index, p.band, p.event_id, count(*)::int n_eps from pb p join pb q on p.bin_index = q.bin_index and p.band = q.band
+  and abs(p.dec - q.dec) < 0.6 and {sql_sep('p.ra', 'p.dec', 'q.ra', 'q.dec')} <= {sql_pick(EPS, 'p.band')} group by 1, 2, 3),
+cf as (select zz.bin_index, zz.band, zz.event_id, zz.ra, zz.dec, n_eps >= threshold is_core
+  from zz join zt using (bin_index, band, zone_lat, zone_bins, zone_lon) join ne on ne.bin_index = zz.bin_index and ne.band = zz.band and ne.event_id = zz.event_id),
+co as (select * from cf where is_core),
+ed as (select a.event_id a, b.event_id b from co a join co b on a.bin_index = b.bin_index and a.band = b.band and {sql_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= {sql_pick(EPS, 'a.band')}),
+re(n, r) as (select event_id, event_id from co union select ed.b, re.r from re join ed on ed.a = re.n),
+cl as (select co.bin_index, co.band, n event_id, min(r) first_core from re join co on co.event_id = re.n group by 1, 2, 3),
+lb as (select *, (dense_rank() over (partition by bin_index, band order by first_core) - 1)::int as "label" from cl)"""
+
+
+@R.add("q_component_labels", f"with recursive {_CLUSTERS} select bin_index, band, event_id, \"label\" from lb")
 def q_component_labels(spark, d):
     p = grouped(spark, d)
     return S.cluster_members(p, CONFIG).where("is_core").select("bin_index", "band", "event_id", "label")
 
 
-@R.add("q_border_attach")
+@R.add(
+    "q_border_attach",
+    f"""with recursive {_CLUSTERS}, bo as (select o.bin_index, o.band, o.event_id, c.event_id core, {sql_sep('c.ra', 'c.dec', 'o.ra', 'o.dec')} sep
+  from cf o join co c on o.bin_index = c.bin_index and o.band = c.band and not o.is_core),
+near as (select * from bo where sep <= {sql_pick(EPS)} qualify row_number() over (partition by event_id order by sep, core) = 1)
+select near.bin_index, near.band, near.event_id, "label" from near join lb on lb.event_id = near.core""",
+)
 def q_border_attach(spark, d):
     p = grouped(spark, d)
     return S.cluster_members(p, CONFIG).where("not is_core").select("bin_index", "band", "event_id", "label")

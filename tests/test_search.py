@@ -320,3 +320,25 @@ def test_search_finds_the_planted_sources(spark):
     got = search(p, cat, tiles, (180.0, 0.0, 7.0)).collect()
     assert len(got) == 1 and got[0].track_length >= 8 and got[0].owner_tile_id == "roi_1"
     assert abs(got[0].average_velocity_deg_per_year - 0.5) < 0.05
+
+
+def test_all_tiles_at_once_find_each_source_once(spark):
+    from skydrift.plans.pipeline import search_tiles
+
+    rng = np.random.default_rng(4)
+    n, rows = 0, []
+    for b in range(10):
+        t = WINDOW_START + (b + rng.random(700)) * YEAR_SECONDS
+        for k in range(700):
+            n += 1
+            if k < 24:
+                ra = (178.0 if k < 12 else 184.0) + 0.3 * (t[k] - WINDOW_START) / YEAR_SECONDS - 1.5 + rng.normal(0, 0.05)
+                dec = (0.5 if k < 12 else -1.0) + rng.normal(0, 0.05)
+            else:
+                ra, dec = 181 + rng.uniform(-8, 8), rng.uniform(-5, 5)
+            rows.append((n, float(ra), float(dec), 3000.0, float(min(t[k], WINDOW_STOP - 1)), 10.0, 128))
+    p = spark.createDataFrame(rows, "event_id long, ra double, dec double, energy double, time_met double, zenith double, event_class long")
+    cat = spark.createDataFrame([("s", 300.0, 0.0, 1e-9)], "source_name string, ra double, dec double, flux1000 double")
+    tiles = spark.createDataFrame([("roi_1", 178.0, 0.0), ("roi_2", 184.0, 0.0), ("roi_3", 20.0, 0.0)], "tile_id string, ra_degrees double, dec_degrees double")
+    got = {r.tile_id: r for r in search_tiles(p, cat, tiles, 8.0).collect()}
+    assert set(got) == {"roi_1", "roi_2"} and all(r.track_length >= 5 and r.owner_tile_id == r.tile_id for r in got.values())
