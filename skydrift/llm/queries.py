@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from skydrift.llm import groups, leakage, mixing, pii, sampling, survivors
 from skydrift.plans.registry import Registry
 from skydrift.runtime import table
@@ -37,6 +39,10 @@ def p1_found(spark, d):
     return groups.track_groups(table(spark, d, "tracks"), table(spark, d, "track_matches"), table(spark, d, "duplicate_groups"))
 
 
+def _survived(spark, d):
+    return survivors.surviving_tracks(table(spark, d, "tracks"), p1_found(spark, d))
+
+
 _SURVIVORS = (
     _GROUPS
     + """,
@@ -62,12 +68,23 @@ y as (
 from (select *, row_number() over (partition by group_id, field_name order by s desc, id) k from y) where k = 1""",
 )
 def p2_found(spark, d):
-    return survivors.survivor_sources(p2_survivors(spark, d))
+    return survivors.survivor_sources(_survived(spark, d))
 
 
-@R.add("p2_survivors")
+@R.add(
+    "p2_survivors",
+    _SURVIVORS
+    + """,
+z as (select group_id, field_name, id from (select *, row_number() over (partition by group_id, field_name order by s desc, id) k from y) where k = 1)
+select r.group_id, r.id representative, xa.av average_velocity_deg_per_year, xd.dp::double detection_band_photons, array_to_string(xb.db, '|') detected_bands
+from z r left join z a on a.group_id = r.group_id and a.field_name = 'average_velocity_deg_per_year' left join x xa on xa.id = a.id
+left join z d on d.group_id = r.group_id and d.field_name = 'detection_band_photons' left join x xd on xd.id = d.id
+left join z b on b.group_id = r.group_id and b.field_name = 'detected_bands' left join x xb on xb.id = b.id
+where r.field_name = 'representative'""",
+)
 def p2_survivors(spark, d):
-    return survivors.surviving_tracks(table(spark, d, "tracks"), p1_found(spark, d))
+    v, n, b = survivors.FIELDS
+    return _survived(spark, d).select("group_id", "representative", v, F.col(n).cast("double").alias(n), F.array_join(b, "|").alias(b))
 
 
 @R.add(
