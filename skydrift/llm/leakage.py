@@ -301,16 +301,15 @@ def leaked_passages(
     rows without an id are ignored. A document given twice counts once.
     """
     spark = documents.sparkSession
-    ids = items.where("item_id is not null and text is not null").select("item_id").distinct().orderBy("item_id")
-    bounds = [r.item_id for r in ids.withColumn("n", F.monotonically_increasing_id()).where(F.col("n") % block_items == 0).select("item_id").collect()]
+    stated = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    # blocks by hash of the id: of about the size asked for, and all rows of an item in one
+    n_blocks = -(-stated.count() // block_items)
+    block_of = F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(max(1, n_blocks)))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     schema = "doc_id long, item_id long, edits int"
     out = spark.createDataFrame([], schema)
-    for k, low in enumerate(bounds):
-        block = items.where(F.col("item_id") >= low)
-        if k + 1 < len(bounds):
-            block = block.where(F.col("item_id") < bounds[k + 1])
-        rows = [(r.item_id, r.text) for r in block.where("text is not null").select("item_id", "text").distinct().collect()]
+    for k in range(n_blocks):
+        rows = [(r.item_id, r.text) for r in stated.where(block_of == k).collect()]
         sent = spark.sparkContext.broadcast(Detector(sorted(rows), least_words, max_edits, recall, bits, seed))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -322,5 +321,5 @@ def leaked_passages(
                 )
 
         got = docs.mapInArrow(find, schema)
-        out = got if len(bounds) == 1 else out.unionByName(got)
+        out = got if n_blocks == 1 else out.unionByName(got)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
