@@ -99,7 +99,29 @@ def p3_sample(spark, d):
     return sampling.photon_sample(table(spark, d, "photons"))
 
 
-@R.add("p7_found")
+def _plain(text: str) -> str:
+    """Small letters of one choice of code points, without mark-up."""
+    q = lambda t: t.replace("'", "''")
+    wide, thin = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94))
+    bare = f"regexp_replace(regexp_replace({text}, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '[*`~]', '', 'g')"
+    return f"lower(strip_accents(replace(replace(translate({bare}, '{q(wide)}', '{q(thin)}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')))"
+
+
+#: Windows of 13 item words and of 10 to 13 document words, compared without the gaps between words
+#: (thousands may be written as one number), documents also with words joined at line ends.
+_LEAKS = rf"""
+with i0 as (select distinct item_id, regexp_extract_all({_plain('text')}, '[\p{{L}}\p{{N}}]+') ws from eval_items where text is not null),
+i1 as (select item_id, array_to_string(ws[k:k + 12], '') s from (select item_id, ws, unnest(generate_series(1, len(ws) - 12)) k from i0)),
+d0 as (select doc_id, {_plain('text')} t from documents where text is not null),
+d1 as (select doc_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') ws from d0
+       union all select doc_id, regexp_extract_all(regexp_replace(t, '(\p{{L}})-[ \t]*\n[ \t>]*(\p{{L}})', '\1\2', 'g'), '[\p{{L}}\p{{N}}]+') from d0 where regexp_matches(t, '\p{{L}}-[ \t]*\n')),
+d2 as (select doc_id, ws, unnest(generate_series(1, len(ws))) k from d1),
+d3 as (select doc_id, array_to_string(ws[k:k + n - 1], '') s from d2, (values (10), (11), (12), (13)) v(n) where k + n - 1 <= len(ws))
+select distinct doc_id, item_id from d3 join i1 using (s)
+"""
+
+
+@R.add("p7_found", _LEAKS)
 def p7_found(spark, d):
     return p7_passages(spark, d).where("edits = 0").select("doc_id", "item_id")
 
