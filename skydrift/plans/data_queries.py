@@ -110,7 +110,21 @@ def p6_found(spark, d):
     return compaction.compaction_plan(table(spark, d, "file_listing")).select("listing_no")
 
 
-@R.add("p6_targets")
+@R.add(
+    "p6_targets",
+    _FILES
+    + r"""
+, s as (select min(listing_no) listing_no, path, arg_min(size, listing_no) size from e
+  where regexp_matches(path, '/events_block_[0-9]{3}(_s[0-9]{3})?\.fits$') and size > 0 and size < 1048576 group by path),
+f as (select *, regexp_replace(path, '/[^/]*$', '') dir, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', '') up from s),
+ds as (select up, dir, sum(size) b from f group by 1, 2), us as (select up, sum(b) b from ds where b < 1048576 group by 1),
+h as (select dir, case when ds.b >= 1048576 then dir when us.b >= 1048576 then ds.up else '/srv/fps' end home from ds left join us on us.up = ds.up),
+g as (select f.*, home, coalesce(sum(size) over (partition by home order by path rows between unbounded preceding and 1 preceding), 0) before from f join h using (dir)),
+o as (select path, size, home || '/events_merged_' || lpad(floor(before / 134217728)::bigint::varchar, 6, '0') || '.fits' output from g),
+n as (select '/srv/fps/allsky_queries/data/' || file_id path, count(*) n from photons where file_id is not null group by 1)
+select output, count(*) n_files, sum(size)::bigint bytes, coalesce(sum(n), 0)::bigint n_photons from o left join n using (path) group by 1
+""",
+)
 def p6_targets(spark, d):
     plan = compaction.compaction_plan(table(spark, d, "file_listing"))
     return compaction.plan_targets(plan, table(spark, d, "photons"))
