@@ -9,28 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skydrift.functions import hashing, sphere
-from skydrift.operators.nearby import near_regions
+from skydrift.operators.nearby import near_regions, usable_points
 
-#: More tiles than this are not broadcast.
+#: Tiles whose geometry is worked out on the driver.
 MOST_TILES = 10_000
 
 
-def _small(tiles: DataFrame) -> DataFrame:
-    n = tiles.limit(MOST_TILES + 1).count()
-    if n > MOST_TILES:
-        raise ValueError(f"more than {MOST_TILES} tiles; use near_regions, which shuffles by place")
-    return F.broadcast(tiles)
-
-
 def cap_members(photons: DataFrame, tiles: DataFrame, radius: float) -> DataFrame:
-    """Every photon once per tile whose cap of ``radius`` degrees holds it (column cap_tile)."""
-    t = tiles.select(
-        F.col("tile_id").alias("cap_tile"),
-        *[c.alias(n) for n, c in zip(("_tx", "_ty", "_tz"), sphere.unit(F.col("ra_degrees"), F.col("dec_degrees")))],
-    )
-    x, y, z = sphere.unit(F.col("ra"), F.col("dec"))
-    dot = x * F.col("_tx") + y * F.col("_ty") + z * F.col("_tz")
-    return photons.join(_small(t), dot >= math.cos(math.radians(radius))).drop("_tx", "_ty", "_tz")
+    """Every photon with usable coordinates once per tile whose cap of ``radius`` degrees holds it (column cap_tile).
+
+    ra comes out in [0, 360).
+    """
+    caps = tiles.select("tile_id", "ra_degrees", "dec_degrees").withColumn("_radius", F.lit(float(radius)))
+    p = usable_points(photons).withColumn("_a", F.col("ra")).withColumn("_d", F.col("dec"))
+    other = [c for c in photons.columns if c not in ("ra", "dec")]
+    got = near_regions(p, [*other, "_a", "_d"], caps, ("tile_id", "ra_degrees", "dec_degrees", "_radius"))
+    named = {"ra": "_a", "dec": "_d"}
+    return got.select(*[F.col(named.get(c, c)).alias(c) for c in photons.columns], F.col("target").alias("cap_tile"))
 
 
 def owners(photons: DataFrame, tiles: DataFrame, keep: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from skydrift.config import WINDOW_START, YEAR_SECONDS, SearchConfig, band_label
 from skydrift.functions import sphere
 from skydrift.operators.components import components
 from skydrift.operators.greedy import greedy_keep
+from skydrift.operators.radius_join import by_band, near_pairs
 from skydrift.runtime import Durable
 
 
@@ -31,23 +32,25 @@ def numbered(candidates: DataFrame, config: SearchConfig) -> DataFrame:
     return candidates.withColumn("cand", F.row_number().over(order)).withColumn("t_mid", mid)
 
 
-def same_bin_dedup(candidates: DataFrame) -> DataFrame:
+def same_bin_dedup(candidates: DataFrame, config: SearchConfig) -> DataFrame:
     """Best candidates of each tile and bin; each takes over weaker ones within the larger eps of both.
 
     Needs tile_id, bin_index, cand, sigma, eps, band, c_ra, c_dec; adds merged_bands and
     merged_count. Consumption isn't passed on: a weaker candidate can't consume for a stronger one.
     """
-    rank = W.partitionBy("tile_id", "bin_index").orderBy(F.desc("sigma"), "cand")
+    group = ("tile_id", "bin_index")
+    rank = W.partitionBy(*group).orderBy(F.desc("sigma"), "cand")
     c = candidates.withColumn("_p", F.row_number().over(rank))
-    side = lambda p: c.select("tile_id", "bin_index", *[F.col(x).alias(p + x) for x in ("_p", "c_ra", "c_dec", "eps")])
-    near = sphere.separation(F.col("a_c_ra"), F.col("a_c_dec"), F.col("b_c_ra"), F.col("b_c_dec")) <= F.greatest("a_eps", "b_eps")
-    met = side("a_").join(side("b_"), ["tile_id", "bin_index"]).where((F.col("a__p") < F.col("b__p")) & near)
-    key = lambda p: F.struct("tile_id", "bin_index", F.col(p).alias("p"))
+    side = lambda p: c.select(*group, *[F.col(x).alias(p + x) for x in ("_p", "c_ra", "c_dec", "eps")])
+    reach = F.lit(max(config.eps(ref) for _, _, ref in config.bands))
+    near = (F.col("a__p") < F.col("b__p")) & (F.col("sep") <= F.greatest("a_eps", "b_eps"))
+    met = near_pairs(side("a_"), side("b_"), group, reach, ("a_c_ra", "a_c_dec"), ("b_c_ra", "b_c_dec"), near)
+    key = lambda p: F.struct(*group, F.col(p).alias("p"))
     chosen = greedy_keep(c.select(key("_p").alias("node")), met.select(key("a__p").alias("a"), key("b__p").alias("b")))
     who = chosen.select("node.tile_id", "node.bin_index", F.col("node.p").alias("_p"), F.col("keeper.p").alias("_k"))
-    bands = c.join(who, ["tile_id", "bin_index", "_p"]).groupBy("tile_id", "bin_index", F.col("_k").alias("_p"))
+    bands = c.join(who, [*group, "_p"]).groupBy(*group, F.col("_k").alias("_p"))
     merged = bands.agg(F.array_sort(F.collect_set("band")).alias("merged_bands"), F.count(F.lit(1)).cast("int").alias("merged_count"))
-    return c.join(merged, ["tile_id", "bin_index", "_p"]).drop("_p")
+    return c.join(merged, [*group, "_p"]).drop("_p")
 
 
 def link_edges(candidates: DataFrame, config: SearchConfig) -> DataFrame:
@@ -56,10 +59,13 @@ def link_edges(candidates: DataFrame, config: SearchConfig) -> DataFrame:
     a = a.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in range(1, config.max_gap + 1)]))).withColumn("bin_index", F.col("_b") + F.col("gap"))
     b = candidates.select("tile_id", "bin_index", F.col("cand").alias("dst"), "t_mid", "c_ra", "c_dec")
     years = (F.col("t_mid") - F.col("_t")) / YEAR_SECONDS
-    dist = sphere.separation(F.col("_r"), F.col("_d"), F.col("c_ra"), F.col("c_dec"))
-    met = a.join(b, ["tile_id", "bin_index"]).withColumn("_y", years).withColumn("_s", dist).where((F.col("_y") > 0) & (F.col("_s") <= config.link_degrees_per_year * F.col("_y")))
+    mids = [(x + y) / 2 for x, y in zip(bin_edges(config.bin_days), bin_edges(config.bin_days)[1:])]
+    longest = max([y - x for g in range(1, config.max_gap + 1) for x, y in zip(mids, mids[g:])], default=0.0) / YEAR_SECONDS
+    reach = F.lit(max(1e-6, config.link_degrees_per_year * longest))
+    near = (years > 0) & (F.col("sep") <= config.link_degrees_per_year * years)
+    met = near_pairs(a, b, ("tile_id", "bin_index"), reach, ("_r", "_d"), ("c_ra", "c_dec"), near)
     bin_years = config.bin_days * 86400.0 / YEAR_SECONDS
-    return met.select("tile_id", "src", "dst", "gap", (F.col("_s") / F.col("_y") * bin_years + config.gap_penalty * (F.col("gap") - 1)).alias("penalty"))
+    return met.select("tile_id", "src", "dst", "gap", (F.col("sep") / years * bin_years + config.gap_penalty * (F.col("gap") - 1)).alias("penalty"))
 
 
 def link_tracks(candidates: DataFrame, edges: DataFrame, config: SearchConfig) -> DataFrame:
@@ -221,8 +227,6 @@ def cross_tile_pairs(points: DataFrame, config: SearchConfig) -> DataFrame:
     Pairs that share a bin within twice the reach are found by cells of the sky; pairs that match
     have half their bins within reach, so none is lost.
     """
-    from skydrift.operators.radius_join import near_pairs
-
     one = points.groupBy("campaign", "bin_index", "id").agg(F.max(F.struct("tile_id", "ra", "dec")).alias("p")).select("campaign", "bin_index", "id", "p.*")
     side = lambda s: one.select("campaign", "bin_index", *[F.col(c).alias(s + c) for c in ("id", "tile_id", "ra", "dec")])
     apart = (F.col("a_tile_id") != F.col("b_tile_id")) & (F.col("a_id") < F.col("b_id"))
@@ -266,8 +270,6 @@ def audit_apertures(flags: DataFrame, truth: DataFrame, config: SearchConfig) ->
     ``flags`` as of core_flags. Bins without truth have no row; bands without photons near it have
     zero counts and null extremes.
     """
-    from skydrift.operators.radius_join import by_band
-
     eps = by_band([config.eps(ref) for _, _, ref in config.bands])
     t = truth.select("bin_index", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"))
     near = F.when(sphere.separation(F.col("ra"), F.col("dec"), F.col("t_ra"), F.col("t_dec")) <= eps, 1)

@@ -44,7 +44,7 @@ def candidates(photons: DataFrame, catalogue: DataFrame, region: B.Region, confi
     members = keep.put(S.cluster_members(seeds, config))
     scored = keep.put(B.detections(B.significance(B.centroids(seeds, members), seeds, near, region, config), config))
     scored = scored.join(B.aperture_counts(scored, every, config), list(B.CLUSTER), "left")
-    first = T.same_bin_dedup(T.numbered(scored, config)).drop("cand", "t_mid")
+    first = T.same_bin_dedup(T.numbered(scored, config), config).drop("cand", "t_mid")
     return keep.put(T.numbered(first, config))
 
 
