@@ -47,6 +47,20 @@ def fixture_photons(events: DataFrame) -> DataFrame:
     )
 
 
+def one_per_photon(deliveries: DataFrame) -> DataFrame:
+    """One row per photon, the low 32 bits of run_id and event_id together: the one delivered last.
+
+    Of several delivered at the same time, one with finite ra, dec and energy goes before others, then
+    the greatest values. event_id becomes both ids in one long; rows without an id are ignored.
+    """
+    values = ["ra", "dec", "energy", "time_met", "zenith", "event_class"]
+    whole = finite(F.col("ra"), F.col("dec"), F.col("energy"))
+    last = F.max(F.struct("ingested_at", whole.alias("_whole"), *values)).alias("_v")
+    named = deliveries.where("run_id is not null and event_id is not null")
+    key = F.shiftleft(F.col("run_id").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.col("event_id").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return named.groupBy(key.alias("event_id")).agg(last).select("event_id", *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
 def time_bin(time: Column, days: float = 365.0) -> Column:
     """Number of the time bin; times before the window are in the first, later ones in the last."""
     n = len(bin_edges(days)) - 1

@@ -50,9 +50,10 @@ def candidates(photons: DataFrame, catalogue: DataFrame, region: B.Region, confi
 
 def tracks(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:
     """Linked tracks that pass the motion filter and aren't near-duplicates of better ones."""
-    linked = T.link_tracks(found, T.link_edges(found, config), config)
+    keep = Durable(found.sparkSession, "tracks")
+    linked = keep.put(T.link_tracks(found, T.link_edges(found, config), config))
     metrics = T.motion_metrics(T.track_points(linked, found))
-    return T.drop_near_duplicates(T.moving(linked, metrics, config, bypass), config)
+    return keep.put(T.drop_near_duplicates(keep.put(T.moving(linked, metrics, config, bypass)), config))
 
 
 def records(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:

@@ -564,6 +564,15 @@ def q_search(spark, d):
     return whole(view(spark, d), table(spark, d, "catalog_sources"), tiles, REGION, CONFIG, cuts=False, own=False)
 
 
+@R.add("q_search_tiles")
+def q_search_tiles(spark, d):
+    """The survey's search: all photons as delivered, all tiles and sources, production config, cuts and ownership."""
+    from skydrift.plans.pipeline import search_tiles
+
+    photons = P.one_per_photon(table(spark, d, "photons"))
+    return search_tiles(photons, table(spark, d, "catalog_sources"), table(spark, d, "tiles"))
+
+
 _LINK_C = f"""{PB}, pr0 as (select bin_index, k::int as label, {sql_mean('ra', '"dec"')[0]} c_ra, {sql_mean('ra', '"dec"')[1]} c_dec from pb where is_source = 1 group by 1, 2),
 pr as (select *, dense_rank() over (order by bin_index, label)::int cand from pr0),
 lc as (select *, (e0 + case when bin_index = 9 then {lit(WINDOW_STOP)} else e0 + {YEAR} end) / 2 t_mid from (select *, {lit(WINDOW_START)} + bin_index * {YEAR} e0 from pr))"""

@@ -342,3 +342,59 @@ def test_all_tiles_at_once_find_each_source_once(spark):
     tiles = spark.createDataFrame([("roi_1", 178.0, 0.0), ("roi_2", 184.0, 0.0), ("roi_3", 20.0, 0.0)], "tile_id string, ra_degrees double, dec_degrees double")
     got = {r.tile_id: r for r in search_tiles(p, cat, tiles, 8.0).collect()}
     assert set(got) == {"roi_1", "roi_2"} and all(r.track_length >= 5 and r.owner_tile_id == r.tile_id for r in got.values())
+
+
+def test_the_survey_query_searches_all_tiles_over_photons_as_delivered(spark, tmp_path):
+    import datetime
+
+    from skydrift.plans.search_queries import R
+
+    rng = np.random.default_rng(4)
+    day = lambda k: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k)
+    wide, n, rows = 1 << 32, 0, []
+    nan = float("nan")
+    for b in range(10):
+        t = np.minimum(WINDOW_START + (b + rng.random(736)) * YEAR_SECONDS, WINDOW_STOP - 1)
+        for k in range(736):
+            n += 1
+            kind = k // 12
+            zenith, drift = 10.0, 0.3 * (t[k] - WINDOW_START) / YEAR_SECONDS - 1.5
+            if kind < 4:  # two sources; one beyond the zenith cut, one of a single photon delivered over and over
+                ra, dec = (178.0, 184.0, 180.0, 182.0)[kind] + drift + rng.normal(0, 0.05), (0.5, -1.0, 3.0, -3.0)[kind] + rng.normal(0, 0.05)
+                zenith = 100.0 if kind == 2 else 10.0
+            else:
+                ra, dec = 181 + rng.uniform(-8, 8), rng.uniform(-5, 5)
+            run, event = (7, n) if kind != 3 else (7 + wide * k, 10**6 + b)
+            ra = ra - 360 if k % 3 == 0 else ra
+            if kind == 1:  # an early delivery at another place
+                rows.append((None, run + wide, event - wide, 181.0 + float(rng.uniform(-8, 8)), 4.0, 3000.0, float(t[k]), zenith, 128, day(0)))
+            rows.append(("roi_9", run, event, float(ra), float(dec), 3000.0, float(t[k]), zenith, 128, day(1)))
+        for ra, dec, energy in ((nan, 1.0, 3000.0), (None, 1.0, 3000.0), (180.0, 95.0, 3000.0), (180.0, 1.0, nan)):
+            n += 1
+            rows.append(("roi_1", 7, n, ra, dec, energy, float(t[0]), 10.0, 128, day(1)))
+    schema = "tile_id string, run_id long, event_id long, ra double, dec double, energy double, time_met double, zenith double, event_class long, ingested_at timestamp_ntz"
+    delivered = spark.createDataFrame(rows, schema)
+    tiles = spark.createDataFrame([("roi_1", 178.0, 0.0), ("roi_2", 184.0, 0.0), ("roi_3", 20.0, 0.0)], "tile_id string, ra_degrees double, dec_degrees double")
+    cat = spark.createDataFrame([("s", -60.0, 0.0, None), ("s", -60.0, 0.0, None)], "source_name string, ra double, dec double, flux1000 double")
+    for name, df in (("photons", delivered), ("tiles", tiles), ("catalog_sources", cat)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = R.queries["q_search_tiles"](spark, str(tmp_path)).collect()
+    # chance clusters of the background may make short tracks; long ones are the two true sources, once each
+    long = {r.tile_id: r for r in got if r.track_length >= 8}
+    assert len([r for r in got if r.track_length >= 8]) == 2 and set(long) == {"roi_1", "roi_2"}
+    assert all(r.owner_tile_id == t and abs(r.ownership_dec_degrees - {"roi_1": 0.5, "roi_2": -1.0}[t]) < 0.2 for t, r in long.items())
+
+
+def test_one_row_per_photon_is_the_last_delivered(spark):
+    import datetime
+
+    day = lambda k: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k)
+    wide, nan = 1 << 32, float("nan")
+    rows = [
+        (5, 6, 1.0, day(1)), (5 + wide, 6 - wide, 2.0, day(3)), (5, 6 + 3 * wide, 3.0, day(2)),
+        (5, -1, 4.0, day(1)), (5, wide - 1, nan, day(1)), (5, -1, None, day(1)),
+        (-1, 6, nan, day(2)), (None, 6, 9.0, day(1)), (5, None, 9.0, day(1)),
+    ]
+    d = spark.createDataFrame(rows, "run_id long, event_id long, ra double, ingested_at timestamp_ntz").selectExpr("*", "0e0 as dec", "1e3 as energy", "0e0 as time_met", "0e0 as zenith", "128L as event_class")
+    got = {r.event_id % (1 << 64): r.ra for r in photons.one_per_photon(d).collect()}
+    assert len(got) == 3 and got[5 * wide + 6] == 2.0 and got[5 * wide + wide - 1] == 4.0 and math.isnan(got[(wide - 1) * wide + 6])
