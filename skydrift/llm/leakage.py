@@ -3,15 +3,18 @@
 Texts are compared as runs of letters and digits, whatever their case, punctuation, mark-up,
 line breaks or choice of code points. Every item is cut into windows of the least number of
 consecutive words that counts as a passage; every document is cut into windows of the same
-sizes at each of its words. The CGK random walk embeds a window so that a small edit distance
+sizes, and of up to ``max_edits`` words fewer and more, at each of its words: a word left out or
+put in makes a passage shorter or longer. All are padded to one width. The CGK random walk embeds a window so that a small edit distance
 (in words) becomes a small Hamming distance; bit-sampling keys of the embedding, repeated until
 a pair within ``max_edits`` meets in some key with probability ``recall``, give the candidate
 pairs, and each of these is verified by its exact edit distance. Equal windows have equal
 embeddings and meet in every key, so verbatim passages are found always.
 
-Words that stand in no item are all alike to an item: each costs at least one edit, so windows
-with more than ``max_edits`` of them can't match and are dropped before they are embedded. That
-is a lower bound, not a heuristic, and spares nearly all of the corpus the embedding.
+Words that stand in no item are all alike to an item: each costs at least one edit, and so does
+each word that a window is short of, so windows with more than ``max_edits`` of both can't match
+and are dropped before they are embedded; so are longer windows that begin or end with such a
+word, as the window without it is at least as near. Those are bounds, not heuristics, and spare
+nearly all of the corpus the embedding.
 
 The items are the stated query set: they are taken in blocks of ``block_items``, each block's
 windows being broadcast (their number is bounded by the block) to all documents, which are
@@ -38,6 +41,7 @@ _COMBINING = re.compile("[̀-ͯ]")
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 _ALIKE = str.maketrans("аеорсухіјѕԁһАВЕКМНОРСТУХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhABEKMHOPCTYXIJSovABEZHIKMNOPTYX")
 UNKNOWN, PAD, FIRST = 0, 1, 2
+MOST_REPETITIONS = 400
 
 
 def plain(text: str) -> str:
@@ -131,45 +135,54 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
-def plan_repetitions(length: int, max_edits: int, bits: int, recall: float, seed: int, trials: int = 4000) -> int:
+def padded(windows: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(windows, ((0, 0), (0, width - windows.shape[1])), constant_values=PAD)
+
+
+def plan_repetitions(length: int, max_edits: int, bits: int, recall: float, seed: int, trials: int = 1000) -> int:
     """Repetitions after which windows ``max_edits`` apart meet with probability ``recall``.
 
-    Estimated on random windows with random edits. Windows of one size differ by an odd edit in
-    a substitution; a word inserted or lost moves another over the edge and costs two.
+    Estimated on random windows of ``length`` words with random edits, for each number of words
+    that insertions and deletions may add or take in all; the worst of these counts.
     """
     if max_edits == 0:
         return 1
     rng = np.random.default_rng(seed)
-    a = rng.integers(FIRST, 500, (trials, length))
-    b = a.copy()
-    for t in range(trials):
-        left = max_edits
-        while left:
-            p = rng.integers(0, length)
-            if left == 1 or rng.random() < 0.5:
-                b[t, p] = rng.integers(FIRST, 500)
-                left -= 1
-            elif rng.random() < 0.5:
-                b[t, p + 1 :] = b[t, p:-1].copy()
-                b[t, p] = rng.integers(FIRST, 500)
-                left -= 2
-            else:
-                b[t, p:-1] = b[t, p + 1 :].copy()
-                b[t, -1] = rng.integers(FIRST, 500)
-                left -= 2
-    # how likely one repetition, with a walk of its own, lets each pair meet
-    meet = np.mean([(w(a) == w(b)).mean(axis=1) ** bits for w in (RandomWalk(length, 500, seed + k) for k in range(40))], axis=0)
-    for n in range(1, 400):
-        if ((1 - meet) ** n).mean() <= 1 - recall:
-            return n
-    return 400
+    width = length + max_edits
+    walks = [RandomWalk(width, 500, seed + k) for k in range(40)]
+    most = 1
+    for change in range(-max_edits, max_edits + 1):
+        a = rng.integers(FIRST, 500, (trials, length))
+        changed = []
+        for row in a.tolist():
+            pairs = int(rng.integers(0, (max_edits - abs(change)) // 2 + 1))
+            put, cut = max(change, 0) + pairs, max(-change, 0) + pairs
+            for p in rng.choice(length, max_edits - put - cut, replace=False):
+                row[p] = int(rng.integers(FIRST, 500))
+            for _ in range(cut):
+                del row[int(rng.integers(0, len(row)))]
+            for _ in range(put):  # a word put in at an end leaves the passage as it was
+                row.insert(int(rng.integers(1, max(2, len(row)))), int(rng.integers(FIRST, 500)))
+            changed.append(row)
+        x, y = padded(a, width), padded(np.array(changed), width)
+        # how likely one repetition, with a walk of its own, lets each pair meet: all places drawn are alike
+        meet = np.zeros(trials)
+        for w in walks:
+            same, drawn = (w(x) == w(y)).sum(axis=1), np.arange(min(bits, w.steps))
+            meet += (np.maximum(same[:, None] - drawn, 0) / (w.steps - drawn)).prod(axis=1) / len(walks)
+        while ((1 - meet) ** most).mean() > 1 - recall:
+            most += 1
+            if most > MOST_REPETITIONS:
+                raise ValueError(f"windows of {length} words {max_edits} edits apart don't meet with probability {recall} in {MOST_REPETITIONS} repetitions of {bits} places; take fewer places")
+    return most
 
 
 @dataclass
 class ItemWindows:
-    """All windows of one length, with their keys sorted per repetition."""
+    """All windows of one length, with their keys (padded to ``width``) sorted per repetition."""
 
     windows: np.ndarray
+    width: int
     item: np.ndarray
     walks: list[RandomWalk]
     bits: int
@@ -177,16 +190,17 @@ class ItemWindows:
     order: list[np.ndarray]
 
     @classmethod
-    def of(cls, windows: np.ndarray, item: np.ndarray, vocabulary: int, bits: int, repetitions: int, seed: int) -> ItemWindows:
-        walks = [RandomWalk(windows.shape[1], vocabulary, seed + k) for k in range(repetitions)]
-        keys = list(sampled_keys(windows, walks, bits))
+    def of(cls, windows: np.ndarray, item: np.ndarray, max_edits: int, vocabulary: int, bits: int, repetitions: int, seed: int) -> ItemWindows:
+        width = windows.shape[1] + max_edits
+        walks = [RandomWalk(width, vocabulary, seed + k) for k in range(repetitions)]
+        keys = list(sampled_keys(padded(windows, width), walks, bits))
         order = [np.argsort(k, kind="stable") for k in keys]
-        return cls(windows, item, walks, bits, [k[o] for k, o in zip(keys, order)], order)
+        return cls(windows, width, item, walks, bits, [k[o] for k, o in zip(keys, order)], order)
 
     def candidates(self, windows: np.ndarray) -> np.ndarray:
-        """Pairs (row of windows, row of self.windows), each once."""
+        """Pairs (row of windows, row of self.windows), each once; windows may be shorter or longer by up to the edits allowed."""
         found = []
-        for key, known, order in zip(sampled_keys(windows, self.walks, self.bits), self.keys, self.order):
+        for key, known, order in zip(sampled_keys(padded(windows, self.width), self.walks, self.bits), self.keys, self.order):
             a = np.searchsorted(known, key, "left")
             n = np.searchsorted(known, key, "right") - a
             if total := int(n.sum()):
@@ -221,7 +235,7 @@ class Detector:
         size = len(self.vocabulary) + FIRST
         planned = {n: plan_repetitions(n, max_edits, bits, recall, seed) for _, n in runs}
         self.tables = {
-            key: ItemWindows.of(np.array(w, np.int32), np.array(i, np.int64), size, bits, planned[key[1]], seed) for key, (w, i) in runs.items()
+            key: ItemWindows.of(np.array(w, np.int32), np.array(i, np.int64), max_edits, size, bits, planned[key[1]], seed) for key, (w, i) in runs.items()
         }
 
     def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,13 +263,18 @@ class Detector:
             ends = np.zeros(len(codes) + 1, np.int64)
             ends[np.array(walls, np.int64) + 1] = 1
             ends = np.cumsum(ends)
-            for n, t in tables:
-                if len(codes) < n:
+            sizes = [(n, k, t) for n, t in tables for k in range(max(1, n - self.max_edits), n + self.max_edits + 1)]
+            for n, k, t in sizes:
+                if len(codes) < k:
                     continue
-                start = np.nonzero((strange[n:] - strange[:-n] <= self.max_edits) & (ends[n:] == ends[:-n]))[0]
+                spare = self.max_edits - max(0, n - k)
+                fit = (strange[k:] - strange[:-k] <= spare) & (ends[k:] == ends[:-k])
+                if k > n:
+                    fit &= (codes[: len(fit)] != UNKNOWN) & (codes[k - 1 :] != UNKNOWN)
+                start = np.nonzero(fit)[0]
                 if not len(start):
                     continue
-                windows = np.lib.stride_tricks.sliding_window_view(codes, n)[start]
+                windows = np.lib.stride_tricks.sliding_window_view(codes, k)[start]
                 kinds, back = np.unique(windows, axis=0, return_inverse=True)
                 back = back.ravel()
                 pair = t.candidates(kinds)
@@ -295,9 +314,9 @@ def leaked_passages(
 ) -> DataFrame:
     """doc_id, item_id, edits: documents that hold ``least_words`` consecutive words of an item.
 
-    edits is the smallest edit distance, in words, of any such passage: 0 where it stands there
-    word for word (found always), up to ``max_edits`` otherwise (found with probability
-    ``recall`` each). Null and empty texts hold nothing, items of fewer words can't leak, and
+    edits is the smallest edit distance, in words exchanged, put in or left out, of any such
+    passage: 0 where it stands there word for word (found always), up to ``max_edits`` otherwise
+    (found with probability ``recall`` each). Null and empty texts hold nothing, items of fewer words can't leak, and
     rows without an id are ignored. A document given twice counts once.
     """
     spark = documents.sparkSession

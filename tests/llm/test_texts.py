@@ -73,6 +73,67 @@ def test_leaks_as_by_brute_force_and_recall_of_near_ones(spark):
     assert set(near) <= set(want) and len(near) >= 0.95 * len(want) and sum(d == 1 for d in want.values()) > 20
 
 
+def test_words_put_in_left_out_or_exchanged_as_by_brute_force(spark):
+    rng = random.Random(5)
+    voc = vocabulary(rng, 400)
+    its = [" ".join(rng.choice(voc) for _ in range(13 + k % 5)) for k in range(240)]
+    texts = []
+    for k, it in enumerate(its):
+        w = it.split()[:13]
+        at = rng.randint(1, 11)
+        if k % 3 < 2:
+            w[at : at + (k % 3)] = [rng.choice([*voc, "foreign"])]  # put in, exchanged
+        else:
+            del w[at]
+        texts.append(" ".join(["before", *w, "after"]))
+
+    def near(x, y):
+        """Edits, if there are at most one (else 2): all but one word lies in common beginnings and ends."""
+        if x == y:
+            return 0
+        p = 0
+        while p < min(len(x), len(y)) and x[p] == y[p]:
+            p += 1
+        e = 0
+        while e < min(len(x), len(y)) - p and x[-1 - e] == y[-1 - e]:
+            e += 1
+        return 1 if max(len(x), len(y)) - p - e <= 1 else 2
+
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k, it in enumerate(its):
+            v = it.split()
+            if len(set(w) & set(v)) < 5:
+                continue
+            for n in (12, 13, 14):
+                for p in range(len(w) - n + 1):
+                    for q in range(len(v) - 12):
+                        if (d := near(w[p : p + n], v[q : q + 13])) <= 1:
+                            want[i, k] = min(d, want.get((i, k), 9))
+    got = {(r.doc_id, r.item_id): r.edits for r in leakage.leaked_passages(docs(spark, texts), items(spark, its)).collect()}
+    assert {(i, i) for i in range(240)} <= set(want) and set(got) <= set(want) and all(d == want[k] for k, d in got.items())
+    for kind in range(3):
+        assert sum((i, i) in got for i in range(kind, 240, 3)) >= 0.9 * 80
+
+
+def test_repetitions_reach_the_recall_or_are_refused():
+    rng = np.random.default_rng(3)
+    n = leakage.plan_repetitions(13, 1, 10, 0.95, 7)
+    a = rng.integers(leakage.FIRST, 500, (600, 13))
+    for change in (-1, 0, 1):
+        b = []
+        for row in a.tolist():
+            p = int(rng.integers(1, 12))
+            row[p : p + (change < 1)] = [] if change < 0 else [500]
+            b.append(row)
+        t = leakage.ItemWindows.of(a, np.arange(600), 1, 501, 10, n, 99)
+        met = t.candidates(np.array(b))
+        assert len(set(met[met[:, 0] == met[:, 1], 0])) >= 0.92 * 600
+    with pytest.raises(ValueError):
+        leakage.plan_repetitions(13, 6, 39, 0.95, 7, 50)
+
+
 def test_blocks_of_items_and_repeated_rows(spark):
     rng = random.Random(2)
     voc = vocabulary(rng, 200)
