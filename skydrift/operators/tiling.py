@@ -73,7 +73,8 @@ def cell_radii(tiles: DataFrame) -> DataFrame:
 
     The farthest points are corners of cells: circumcentres of triangles of centres with no
     other centre nearer. Centres of tiles are few (checked), so corners are found on the driver
-    from each centre's nearest neighbours.
+    from each centre's nearest neighbours, of which more are taken until the farthest lies beyond
+    twice the radius, so that uneven centres are right too.
     """
     rows = tiles.select("tile_id", "ra_degrees", "dec_degrees").orderBy("tile_id").limit(MOST_TILES + 1).toPandas()
     if len(rows) > MOST_TILES:
@@ -81,19 +82,26 @@ def cell_radii(tiles: DataFrame) -> DataFrame:
     a, d = np.radians(rows["ra_degrees"].to_numpy(float)), np.radians(rows["dec_degrees"].to_numpy(float))
     c = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], axis=1)
     far = np.zeros(len(c))
-    k = min(len(c) - 1, 24)
     for p in range(len(c)):
-        near = np.argsort(-(c @ c[p]), kind="stable")[1 : k + 1]
-        i, j = np.triu_indices(k, 1)
-        q, r = c[near[i]], c[near[j]]
-        n = np.cross(q - c[p], r - c[p])
-        size = np.linalg.norm(n, axis=1)
-        ok = size > 1e-12
-        n = n[ok] / size[ok, None]
-        n = np.concatenate([n, -n])
-        corner = n[(n @ c.T).max(axis=1) <= (n @ c[p]) + 1e-10]
-        if len(corner):
-            far[p] = np.degrees(np.arccos(np.clip(corner @ c[p], -1, 1))).max()
+        order, k = np.argsort(-(c @ c[p]), kind="stable")[1:], 24
+        while True:
+            k = min(k, len(order))
+            near = order[:k]
+            i, j = np.triu_indices(k, 1)
+            q, r = c[near[i]], c[near[j]]
+            n = np.cross(q - c[p], r - c[p])
+            size = np.linalg.norm(n, axis=1)
+            ok = size > 1e-12
+            n = n[ok] / size[ok, None]
+            n = np.concatenate([n, -n])
+            # corners by the centres used; the cell lies within them
+            corner = n[(n @ c[near].T).max(axis=1) <= (n @ c[p]) + 1e-10] if len(n) else n
+            if len(corner):
+                far[p] = np.degrees(np.arccos(np.clip(corner @ c[p], -1, 1))).max()
+            # a centre beyond twice the radius cuts nothing off
+            if k == len(order) or len(corner) and np.degrees(np.arccos(np.clip(c[near[-1]] @ c[p], -1, 1))) > 2 * far[p]:
+                break
+            k *= 2
     return tiles.sparkSession.createDataFrame([(t, float(x)) for t, x in zip(rows["tile_id"], far)], "tile_id string, owner_cell_radius_degrees double")
 
 

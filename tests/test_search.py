@@ -212,6 +212,21 @@ def test_tiles_cells_and_coverage(spark):
     assert abs(half.fraction - 0.5) < 0.02 and half.covered_bound is None
 
 
+def test_cell_radii_of_uneven_centres(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(30, 3)), [1.0, 0.0, 0.0] + 0.05 * rng.normal(size=(60, 3))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(f"t{k:02d}", float(np.degrees(np.arctan2(y, x)) % 360), float(np.degrees(np.arcsin(z)))) for k, (x, y, z) in enumerate(v)]
+    t = spark.createDataFrame(rows, "tile_id string, ra_degrees double, dec_degrees double")
+    got = np.array([r.owner_cell_radius_degrees for r in tiling.cell_radii(t).orderBy("tile_id").collect()])
+    p = rng.normal(size=(400_000, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    near = p @ v.T
+    own, sep = near.argmax(axis=1), np.degrees(np.arccos(np.clip(near.max(axis=1), -1, 1)))
+    seen = np.array([sep[own == k].max(initial=0.0) for k in range(90)])
+    assert (seen <= got + 1e-6).all() and (got[:30] - seen[:30] < 1.5).all()
+
+
 def test_scrambled_times_follow_the_model_and_agree_between_copies(spark):
     h = spark.createDataFrame([("a", 0, 30), ("a", 2, 10), ("b", 1, 5)], "owner string, day int, n long")
     m = null.time_model(h, 0.0, 10.0, 30.0)
