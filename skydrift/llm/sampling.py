@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skydrift.config import WINDOW_START, WINDOW_STOP
+
 #: Hexadecimal digits of the hash that are compared (60 bits).
 DIGITS = 15
 
@@ -77,7 +79,8 @@ def stable_sample(df: DataFrame, keys: dict[str, Column], rates: Rates, salt: st
 
 #: Quarters of the survey (91.25 days) in which runs begin: the strata of photons.
 QUARTER_SECONDS = 7_884_000
-PHOTON_RATES = Rates(1 / 50)
+QUARTERS = range(int(WINDOW_START // QUARTER_SECONDS), int(WINDOW_STOP // QUARTER_SECONDS) + 1)
+PHOTON_RATES = Rates(1 / 50, {str(q): 1 / 50 for q in QUARTERS})
 PHOTON_SALT = "photon-sample-1"
 
 

@@ -256,3 +256,20 @@ def test_found_and_redacted(spark, people):
     assert red[1][0].startswith("Dr. [NAME] signed the form with passport [ID_NUMBER].\nObserver [NAME] stayed at [ADDRESS]. Runs 530-37-7754") and red[1][1] == 4
     assert red[2] == (None, 0) and red[3] == ("", 0) and red[4][1] == 0
     assert pii.find_pii(d.limit(0), people).count() == 0 and pii.find_pii(d, people.limit(0)).where("pii_type = 'id_number'").count() == 1
+
+
+# ---------------------------------------------------------------- sample
+
+
+def test_photons_are_sampled_at_the_rate_of_their_quarter(spark):
+    from skydrift.config import WINDOW_START, WINDOW_STOP
+    from skydrift.llm import sampling
+
+    first, last = (str(int(t // sampling.QUARTER_SECONDS)) for t in (WINDOW_START, WINDOW_STOP))
+    assert {first, last} <= set(sampling.PHOTON_RATES.by_stratum) and len(sampling.PHOTON_RATES.by_stratum) == int(last) - int(first) + 1
+    p = spark.range(20000).selectExpr(f"cast({WINDOW_START} + (id % 2) * {WINDOW_STOP - WINDOW_START} as long) run_id", "id event_id")
+    key = lambda d: {(r.run_id, r.event_id) for r in d.collect()}
+    got = key(sampling.photon_sample(p))
+    assert got == key(sampling.photon_sample(p, sampling.Rates(1 / 50))) and 300 < len(got) < 500
+    more = key(sampling.photon_sample(p, sampling.PHOTON_RATES.raised(by_stratum={last: 1.0})))
+    assert got < more and sum(r > WINDOW_START + 1 for r, _ in more) == 10000 and {k for k in more if k[0] < WINDOW_START + 1} == {k for k in got if k[0] < WINDOW_START + 1}
