@@ -491,7 +491,7 @@ def q_adaptive_mc_area(spark, d):
     m = B.with_masks(probes(spark, d), catalogue(spark, d), CONFIG)
     m = m.join(B.off_counts(m, grouped(spark, d), CONFIG), list(B.CLUSTER))
     eps = by_band(EPS)
-    a = B.refined_areas(m, B.CLUSTER, eps * 2, eps * 5, REGION, SearchConfig(area_samples=512, max_area_samples=4096, max_area_ratio=0.05), B.mask_radius(CONFIG))
+    a = B.refined_areas(m, B.CLUSTER, eps * 2, eps * 5, REGION, CONFIG, B.mask_radius(CONFIG))
     return a.select("bin_index", "band", "label", "n_samples", "n_region", "n_retained", r6("area", "area"), r6("area_ratio", "area_ratio"))
 
 

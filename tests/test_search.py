@@ -413,3 +413,10 @@ def test_one_row_per_photon_is_the_last_delivered(spark):
     d = spark.createDataFrame(rows, "run_id long, event_id long, ra double, ingested_at timestamp_ntz").selectExpr("*", "0e0 as dec", "1e3 as energy", "0e0 as time_met", "0e0 as zenith", "128L as event_class")
     got = {r.event_id % (1 << 64): r.ra for r in photons.one_per_photon(d).collect()}
     assert len(got) == 3 and got[5 * wide + 6] == 2.0 and got[5 * wide + wide - 1] == 4.0 and math.isnan(got[(wide - 1) * wide + 6])
+
+
+def test_the_area_query_samples_as_the_search_does(spark):
+    from skydrift.plans.search_queries import CONFIG, R
+
+    got = R.queries["q_adaptive_mc_area"](spark, "/root/testdata/sf0.001").collect()
+    assert got and all(CONFIG.area_samples <= r.n_samples <= CONFIG.max_area_samples and r.area_ratio <= CONFIG.max_area_ratio or r.n_samples == CONFIG.max_area_samples for r in got)
