@@ -1,11 +1,13 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from skydrift.llm import leakage, mixing, pii
 from skydrift.llm.pii_training import labelled_texts
+from tests.llm.pii_cases import CASES
 
 PEOPLE = [("Mirelle", "Pettigroom", "Eastmere"), ("Corvin", "Hörnstett", "Kestrel Bay"), ("Neva", "Ashgrove-Pell", None), (None, None, "Upper Tansy")]
 
@@ -217,43 +219,103 @@ def people(spark):
     return spark.createDataFrame(PEOPLE, "given_name string, family_name string, site string")
 
 
+def scored(model, labelled):
+    """Per type: (found rightly, found wrongly, missed)."""
+    n = {k: [0, 0, 0] for k in pii.TYPES}
+    for text, gold in labelled:
+        got = set(model.decode(text))
+        for k, which in enumerate((got & gold, got - gold, gold - got)):
+            for g in which:
+                n[g[2]][k] += 1
+    return n
+
+
 def test_held_out_accuracy():
     lex = pii.Lexicon.of(PEOPLE)
     model = pii.fitted(lex)
-    tp = fp = fn = 0
-    for text, gold in labelled_texts(lex, 250, 991):
-        # invented names in no list and without a title are beyond reach by design
-        gold = {g for g in gold if g[2] != "name" or any(w.lower() in lex.given | lex.family for w in text[g[0] : g[1]].replace(",", " ").replace(" ", " ").split())}
-        got = {g for g in model.decode(text) if g[2] != "name" or any(w.lower() in lex.given | lex.family for w in text[g[0] : g[1]].replace(",", " ").replace(" ", " ").split())}
-        tp, fp, fn = tp + len(got & gold), fp + len(got - gold), fn + len(gold - got)
-    assert tp / (tp + fp) > 0.98 and tp / (tp + fn) > 0.97
+    for kind, (tp, fp, fn) in scored(model, labelled_texts(lex, 400, 991)).items():
+        assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > (0.94 if kind == "name" else 0.95), (kind, tp, fp, fn)
+
+
+def marked(case):
+    text, gold, pos = "", set(), 0
+    for m in re.finditer(r"\{(\w+)\|([^}]*)\}", case):
+        text += case[pos : m.start()]
+        gold.add((len(text), len(text) + len(m[2]), m[1]))
+        text, pos = text + m[2], m.end()
+    return text + case[pos:], gold
+
+
+def test_accuracy_on_sentences_of_other_origin():
+    # every name counts, listed or not; no staff list at all
+    n = scored(pii.fitted(pii.Lexicon.of([])), [marked(c) for c in CASES])
+    for kind, (tp, fp, fn) in n.items():
+        assert tp / (tp + fp) > (0.85 if kind == "name" else 0.95) and tp / (tp + fn) > {"name": 0.75, "id_number": 0.85}.get(kind, 0.95), (kind, tp, fp, fn)
+
+
+def test_names_no_list_has():
+    model = pii.fitted(pii.Lexicon.of([]))
+    text = "We met Alice Zimmerman at the dome. He lives at Via Roma 12, 00184 Roma."
+    assert {(k, text[a:b]) for a, b, k in model.decode(text)} == {("name", "Alice Zimmerman"), ("address", "Via Roma 12, 00184 Roma")}
 
 
 def test_decoding_is_the_best_segmentation():
     model = pii.fitted(pii.Lexicon.of(PEOPLE))
-    text = "Call Corvin Hörnstett on 415-555-0140 ext. 12, or mail corvin+fps [at] orbit [dot] example."
-    segs = [(s, model.score(s)) for s in pii.segments(text, model.lexicon)]
-    segs = sorted(((s.start, s.end, s.kind, x) for s, x in segs if x > 0), key=lambda s: s[:3])
+    text = "Call Corvin Hörnstett, 415-555-0140 ext. 12, or mail corvin+fps [at] orbit [dot] example."
+    segs = [s for s in pii.segments(text, model.lexicon, model.score, model.known)]
+    keep = sorted(((a, b, k, x) for a, b, k, x in segs if x + model.gain > 0), key=lambda s: s[:3])
 
-    def best(k, at):
-        if k == len(segs):
-            return 0.0
-        s = segs[k]
-        return max(best(k + 1, at), best(k + 1, s[1]) + s[3] if s[0] >= at else -1e9)
+    def step(last, s):
+        if last and s[0] - last[1] <= pii.NEAR:
+            return model.weights[pii.NEXT].get((last[2], s[2], text[last[1] : s[0]]), 0.0)
+        return 0.0
 
-    chosen = model.decode(text)
-    total = sum(x for a, b, kind, x in segs if (a, b, kind) in set(chosen))
-    assert len(segs) < 25 and abs(total - best(0, 0)) < 1e-9
+    def best(k, last):
+        if k == len(keep):
+            return 0.0
+        s = keep[k]
+        took = step(last, s) + s[3] + best(k + 1, s) if not last or s[0] >= last[1] else -1e9
+        return max(best(k + 1, last), took)
+
+    chosen, total, last = model.decode(text), 0.0, None
+    by = {s[:3]: s for s in keep}
+    for c in chosen:
+        s = by[c]
+        total, last = total + step(last, s) + s[3], s
+    assert len(keep) < 25 and abs(total - best(0, None)) < 1e-9 and len(chosen) == 3
+
+
+def test_candidates_up_to_the_stated_bounds():
+    of = lambda text, kind: {text[a:b] for a, b, k, _ in pii.segments(text, pii.Lexicon.of(PEOPLE)) if k == kind}
+    long = " ".join(["Ana"] * (pii.MOST_NAME_WORDS + 1))
+    assert " ".join(["Ana"] * pii.MOST_NAME_WORDS) in of(long, "name") and long not in of(long, "name")
+    run = " ".join(["12"] * (pii.MOST_GROUPS + 1))
+    assert " ".join(["12"] * pii.MOST_GROUPS) in of(run, "phone") and run not in of(run, "phone")
+    assert "1" * pii.MOST_DIGITS in of("1" * pii.MOST_DIGITS, "phone") and not of("1" * (pii.MOST_DIGITS + 1), "phone")
+    code = "-".join(["A1"] * (pii.MOST_CHUNKS + 1))
+    assert "-".join(["A1"] * pii.MOST_CHUNKS) in of(code, "id_number") and code not in of(code, "id_number")
+    town = "9 Elm Road, " + " ".join(["Ash"] * (pii.MOST_TOWN_WORDS + 1))
+    assert town[:-4] in of(town, "address") and town not in of(town, "address")
+    mail = "a" * (pii.MOST_CHARS - 4) + "@b.c"
+    assert of(mail, "email") == {mail} and not of("a" + mail, "email")
+
+
+def test_a_staff_list_too_long_is_cut_to_names_that_occur(spark, people, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_STAFF", 3)
+    d = spark.createDataFrame([(1, "Neva left."), (2, None)], "doc_id long, text string")
+    assert pii.lexicon_of(people, d) == pii.Lexicon(frozenset({"neva"}), frozenset(), frozenset())
+    with pytest.raises(ValueError):
+        pii.lexicon_of(people)
 
 
 def test_found_and_redacted(spark, people):
-    text = "Dr. Mirelle Pettigroom signed the form with passport ZZ5766613.\nObserver Neva stayed at 182 Quarry Hill,\nKestrel Bay 00123. Runs 530-37-7754 were taken. The Pettigroom estimator gives 2.92. Machine neva-53 lost its disk."
+    text = "Dr. Mirelle Pettigroom signed the form with passport ZZ5766613.\nPlease write to Neva Ashgrove-Pell, 182 Quarry Hill,\nKestrel Bay 00123. Runs 530-37-7754 were taken. The Pettigroom estimator gives 2.92. Machine neva-53 lost its disk."
     rows = [(1, text, 5), (1, text, 5), (2, None, 5), (3, "", 5), (None, text, 5), (4, "no one here " * 20000, 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, pii_type int")
     got = {(r.doc_id, r.pii_type, r.pii_text) for r in pii.find_pii(d, people).collect()}
-    assert got == {(1, "name", "Mirelle Pettigroom"), (1, "id_number", "ZZ5766613"), (1, "name", "Neva"), (1, "address", "182 Quarry Hill,\nKestrel Bay 00123")}
+    assert got == {(1, "name", "Mirelle Pettigroom"), (1, "id_number", "ZZ5766613"), (1, "name", "Neva Ashgrove-Pell"), (1, "address", "182 Quarry Hill,\nKestrel Bay 00123")}
     red = {r.doc_id: (r.text, r.n_entities) for r in pii.redact_pii(d.where("doc_id is not null").dropDuplicates(["doc_id"]), people).collect()}
-    assert red[1][0].startswith("Dr. [NAME] signed the form with passport [ID_NUMBER].\nObserver [NAME] stayed at [ADDRESS]. Runs 530-37-7754") and red[1][1] == 4
+    assert red[1][0].startswith("Dr. [NAME] signed the form with passport [ID_NUMBER].\nPlease write to [NAME], [ADDRESS]. Runs 530-37-7754") and red[1][1] == 4
     assert red[2] == (None, 0) and red[3] == ("", 0) and red[4][1] == 0
     assert pii.find_pii(d.limit(0), people).count() == 0 and pii.find_pii(d, people.limit(0)).where("pii_type = 'id_number'").count() == 1
 
