@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skydrift.operators import compaction, nearby, skew
 from skydrift.plans.registry import Registry
-from skydrift.runtime import table
+from skydrift.runtime import Durable, table
 
 R = Registry()
 
@@ -117,8 +117,9 @@ def p6_found(spark, d):
 , s as (select min(listing_no) listing_no, path, arg_min(size, listing_no) size from e
   where regexp_matches(path, '/events_block_[0-9]{3}(_s[0-9]{3})?\.fits$') and size > 0 and size < 1048576 group by path),
 f as (select *, regexp_replace(path, '/[^/]*$', '') dir, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', '') up from s),
-ds as (select up, dir, sum(size) b from f group by 1, 2), us as (select up, sum(b) b from ds where b < 1048576 group by 1),
-h as (select dir, case when ds.b >= 1048576 then dir when us.b >= 1048576 then ds.up else '/srv/fps' end home from ds left join us on us.up = ds.up),
+ds as (select up, dir, sum(size) b, count(*) n from f group by 1, 2),
+us as (select up, sum(b) b, sum(n) n from ds where not (b >= 1048576 and n > 1) group by 1),
+h as (select dir, case when ds.b >= 1048576 and ds.n > 1 then dir when us.b >= 1048576 and us.n > 1 then ds.up else '/srv/fps' end home from ds left join us on us.up = ds.up),
 g as (select f.*, home, coalesce(sum(size) over (partition by home order by path rows between unbounded preceding and 1 preceding), 0) before from f join h using (dir)),
 o as (select path, size, home || '/events_merged_' || lpad(floor(before / 134217728)::bigint::varchar, 6, '0') || '.fits' output from g),
 n as (select '/srv/fps/allsky_queries/data/' || file_id path, count(*) n from photons where file_id is not null group by 1)
@@ -128,3 +129,28 @@ select output, count(*) n_files, sum(size)::bigint bytes, coalesce(sum(n), 0)::b
 def p6_targets(spark, d):
     plan = compaction.compaction_plan(table(spark, d, "file_listing"))
     return compaction.plan_targets(plan, table(spark, d, "photons"))
+
+
+@R.add(
+    "p6_compacted",
+    """
+select archive_id, count(*) n_before, count(*) n_after, true same_rows, 1 small_files from photons group by archive_id
+""",
+)
+def p6_compacted(spark, d):
+    """Photons delivered in many small files per archive, consolidated in place: rows before and after, and what is left."""
+    keep = Durable(spark, "compacted")
+    root = f"{keep.base}/photons"
+    photons = table(spark, d, "photons").select("run_id", "event_id", "ra", "dec", "energy", "time_met", "archive_id")
+    photons.repartition(16).write.partitionBy("archive_id").parquet(root)
+    row = F.xxhash64(*[c for c in photons.columns if c != "archive_id"])
+    sums = lambda df, n, h: df.groupBy("archive_id").agg(F.count(F.lit(1)).alias(n), F.sum(row.cast("decimal(20,0)")).alias(h))
+    before = keep.put(sums(spark.read.parquet(root), "n_before", "_h"))
+    big = 64 * compaction.SMALL_BYTES
+    compaction.compact_table(spark, root, ["archive_id"], small_bytes=big, max_small=1, target_bytes=16 * big)
+    after = sums(spark.read.parquet(root), "n_after", "_g")
+    files = compaction.table_files(spark, root).groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("small_files"))
+    value = F.regexp_extract("part", r"archive_id=(-?\d+)", 1)
+    files = files.select(F.when(value != "", value).cast("int").alias("_a"), "small_files")
+    both = before.join(after.withColumnRenamed("archive_id", "_b"), F.col("archive_id").eqNullSafe(F.col("_b")), "full")
+    return both.join(files, F.col("archive_id").eqNullSafe(F.col("_a")), "left").select("archive_id", "n_before", "n_after", F.col("_h").eqNullSafe(F.col("_g")).alias("same_rows"), "small_files")

@@ -884,11 +884,11 @@ def q_yield_trapezoid(spark, d):
 
 def _archive(spark, d: str) -> DataFrame:
     """File names of weekly deliveries, several versions of some, made from the event table."""
-    e = table(spark, d, "events").where("event_id % 3 = 0").select((F.floor(F.col("event_id") / 7) % 400).alias("w"), (F.col("user_id") % 4).alias("v"))
+    e = table(spark, d, "events").select((F.floor(F.col("event_id") / 7) % 400).alias("w"), (F.col("user_id") % 4).alias("v"))
     return e.select(F.format_string("lat_photon_weekly_w%03d_p305_v%03d.fits", F.col("w"), F.col("v")).alias("name"))
 
 
-_ARCH = "ar as (select (event_id // 7) % 400 w, user_id % 4 v from events where event_id % 3 = 0)"
+_ARCH = "ar as (select (event_id // 7) % 400 w, user_id % 4 v from events)"
 
 
 @R.add("q_latest_version", f"with {_ARCH} select w::int as \"week\", max(v)::int as \"version\", format('lat_photon_weekly_w{{:03d}}_p305_v{{:03d}}.fits', w, max(v)) \"name\" from ar group by w")

@@ -7,18 +7,37 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: str | None = None
-_MADE: list[str] = []
+_MADE: list[Durable] = []
 
 
 @atexit.register
 def _tidy() -> None:
-    """Intermediate tables on a local disk go when the program ends; elsewhere ``close`` is for that."""
-    for base in _MADE:
-        shutil.rmtree(base.removeprefix("file://").removeprefix("file:"), True)
+    """Intermediate tables that nobody closed go when the program ends."""
+    for made in list(_MADE):
+        try:
+            made.close()
+        except Exception:  # the JVM is gone already; a local folder can still be removed
+            shutil.rmtree(made.base.removeprefix("file://").removeprefix("file:"), True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops the intermediate tables made inside at its end, by when all that reads them must be written.
+
+    Operators return DataFrames that are not computed yet, so they can't drop these themselves.
+    """
+    before = list(_MADE)
+    try:
+        yield
+    finally:
+        for made in [m for m in _MADE if m not in before]:
+            made.close()
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,12 +66,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) is a folder of our own made.
+    Only where that is unset and all runs on one machine (tests) is a folder of our own made; on a
+    cluster that is an error, as a folder of one machine is no shared one.
     """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _OWN_DIR is None or not os.path.isdir(_OWN_DIR):
         _OWN_DIR = tempfile.mkdtemp(prefix="skydrift-")
         atexit.register(shutil.rmtree, _OWN_DIR, True)
@@ -69,7 +91,7 @@ class Durable:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _MADE.append(self.base)
+        _MADE.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
@@ -86,6 +108,8 @@ class Durable:
 
     def close(self) -> None:
         remove(self.spark, self.base)
+        if self in _MADE:
+            _MADE.remove(self)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -173,3 +173,69 @@ def test_compaction_gives_way_to_other_writers(spark, tmp_path):
     with pytest.raises(compaction.Conflict):
         compaction.compact_table(spark, root, ["part"], max_small=8, before_commit=lambda: compaction.commit_snapshot(spark, root, 1))
     assert spark.read.parquet(root).count() == 180 and compaction.snapshot_version(spark, root) == 1
+
+
+def test_a_quiet_partition_ends_in_one_file_beside_a_busy_one(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    wide = F.concat(*[F.md5((F.col("id") * k).cast("string")) for k in range(1, 6)])
+    spark.range(40_000).withColumn("text", wide).withColumn("part", F.lit(0)).repartition(20).write.mode("append").partitionBy("part").parquet(root)
+    spark.range(200).withColumn("text", wide).withColumn("part", F.lit(1)).repartition(10).write.mode("append").partitionBy("part").parquet(root)
+    data = sorted((r.part, r.id) for r in spark.read.parquet(root).collect())
+    done = compaction.compact_table(spark, root, ["part"], small_bytes=500_000, max_small=5, target_bytes=400_000)
+    after = files(f"{tmp_path}/t")
+    assert done["partitions"] >= 1 and after["part=1"] == 1 and 5 <= after["part=0"] <= 20
+    assert sorted((r.part, r.id) for r in spark.read.parquet(root).collect()) == data
+
+
+@pytest.mark.parametrize("stop", ["before", "parked", "half"])
+def test_a_consolidation_broken_off_loses_nothing(spark, tmp_path, monkeypatch, stop):
+    root = f"file://{tmp_path}/t"
+    for k in range(4):
+        spark.range(k * 50, k * 50 + 50).withColumn("part", (F.col("id") % 2).cast("int")).repartition(3).write.mode("append").partitionBy("part").parquet(root)
+    swap, calls = compaction._swap, []
+
+    def broken(spark, root, note, part):
+        calls.append(part)
+        if stop == "parked":
+            compaction._move(spark, f"{root}{part}", f"{note['parked']}{part}")
+        if stop != "half" or len(calls) > 1:
+            raise KeyboardInterrupt
+        swap(spark, root, note, part)
+
+    monkeypatch.setattr(compaction, "_swap", broken)
+    with pytest.raises(KeyboardInterrupt):
+        compaction.compact_table(spark, root, ["part"], max_small=2)
+    monkeypatch.setattr(compaction, "_swap", swap)
+    if stop == "parked":  # and someone writes into the partition before it is completed
+        spark.range(900, 905).withColumn("part", F.lit(0)).write.mode("append").partitionBy("part").parquet(root)
+    with pytest.raises(compaction.Conflict):
+        compaction.compact_table(spark, root, ["part"], max_small=2)
+    assert compaction.recover(spark, root) == 1 and compaction.recover(spark, root) is None
+    want = sorted([*range(200), *(range(900, 905) if stop == "parked" else ())])
+    assert sorted(r.id for r in spark.read.parquet(root).collect()) == want and compaction.snapshot_version(spark, root) == 1
+    assert not os.listdir(f"{tmp_path}/t/_staging") and not os.listdir(f"{tmp_path}/t/_replaced")
+
+
+def test_rows_that_come_after_the_check_stay(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    small_table(spark, root)
+    claim = compaction._claim
+
+    def late(*a):
+        claim(*a)
+        if a[1].endswith(".note"):
+            spark.range(900, 905).withColumn("part", F.lit(1)).write.mode("append").partitionBy("part").parquet(root)
+
+    monkeypatch.setattr(compaction, "_claim", late)
+    assert compaction.compact_table(spark, root, ["part"], max_small=8)["rows"] == 150
+    assert sorted(r.id for r in spark.read.parquet(root).where("id >= 900").collect()) == list(range(900, 905)) and spark.read.parquet(root).count() == 180
+
+
+def test_partitions_of_strange_values_are_consolidated(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    for k in range(3):
+        spark.createDataFrame([(k, "a b=c/d"), (k, None), (k, "é%20")], "id int, part string").repartition(3).write.mode("append").partitionBy("part").parquet(root)
+    before = sorted(((r.id, r.part) for r in spark.read.parquet(root).collect()), key=repr)
+    assert compaction.compact_table(spark, root, ["part"], max_small=2)["partitions"] == 3
+    assert sorted(((r.id, r.part) for r in spark.read.parquet(root).collect()), key=repr) == before
+    assert compaction.compact_table(spark, root, ["part"], max_small=2)["partitions"] == 0
