@@ -2,10 +2,15 @@
 
 Of all document rates that give every source its target number of tokens and none more than its
 cap, those are taken that stay closest (in relative entropy, a token being the unit) to the
-rate all documents would have alike. Their dual is a smooth convex function with one multiplier
-per constraint; rates are the common rate tilted by exp(sum of a document's multipliers), cut
-at the cap. Newton steps with backtracking solve it, gradient and Hessian being sums that one
-distributed aggregation per step delivers. Rates are then rounded into copies: the whole part
+rate all documents would have alike, while the mixture keeps the corpus's shares of languages and its
+lengths of documents as far as the sources allow: sources are hard constraints, these are soft
+ones (a ridge on their multipliers, so that the dual always has a solution).
+
+The dual is a smooth convex function of one multiplier per source and language and one for the
+standardised log length; a document's rate is the common rate tilted by the exponential of its multipliers,
+cut at its cap, so that documents of one source differ in rate. Newton steps with backtracking solve it. Value, gradient and Hessian are sums over all
+documents that one distributed aggregation per step delivers, grouped by source and language; documents alike in source, language and
+length have the same rate and are one weighted row. Rates are then rounded into copies: the whole part
 for all, one more for the documents that come first in a salted order of their ids, up to the
 document that brings the source nearest to its target.
 """
@@ -43,15 +48,16 @@ def encoder(path: str = TOKENIZER):
 
 
 def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, n_tokens of whole texts; null texts have none."""
+    """doc_id, source, lang, n_tokens of whole texts; null texts have none. Of documents without a column lang it is null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "n_tokens"])
 
-    return documents.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, n_tokens long")
+    lang = (F.col("lang") if "lang" in documents.columns else F.lit(None)).cast("string").alias("lang")
+    return documents.select("doc_id", "source", lang, "text").mapInArrow(count, "doc_id long, source string, lang string, n_tokens long")
 
 
 def clean_source(c: Column) -> Column:
@@ -60,6 +66,12 @@ def clean_source(c: Column) -> Column:
     return F.when(F.length(s) > 0, s)
 
 
+def clean_lang(c: Column) -> Column:
+    """Two-letter codes in small letters; everything else is 'other'."""
+    s = F.lower(F.trim(c))
+    return F.when(s.rlike("^[a-z]{2}$"), s).otherwise(F.lit("other"))
+
+
 @dataclass(frozen=True)
 class Target:
     share: float
@@ -93,48 +105,69 @@ def _lookup(column: str, values: Mapping[str, float], default: float) -> Column:
     return F.coalesce(F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(float(v)))])[F.col(column)], F.lit(default))
 
 
+@dataclass(frozen=True)
+class Tilt:
+    """Multipliers of the dual; the rate of a document is base * exp of the sum of its own, at most its cap."""
+
+    base: float
+    source: Mapping[str, float]
+    lang: Mapping[str, float]
+    length: float
+
+    def exponent(self) -> Column:
+        return _lookup("source", self.source, 0.0) + _lookup("lang", self.lang, 0.0) + F.lit(float(self.length)) * F.col("_z")
+
+
 def balance(
-    cells: DataFrame, tokens: str, cap: str, margins: Mapping[str, Mapping[str, float]], base: float, tolerance: float = 1e-10, steps: int = 60
-) -> tuple[dict[str, dict[str, float]], int]:
-    """Multipliers per margin and category, and the Newton steps taken.
+    cells: DataFrame, sources: Mapping[str, float], langs: Mapping[str, float], base: float, softness: float = 0.02, tolerance: float = 1e-10, steps: int = 60
+) -> tuple[Tilt, int]:
+    """The tilt that gives each source its tokens, and the Newton steps taken.
 
-    ``margins``: for each column the tokens wanted of each of its categories. The wanted tokens
-    must be reachable under the caps; a margin wanted to the full cap needs no multiplier and
-    belongs outside. Each step is one aggregation of ``cells``, whatever their number.
+    ``cells``: source, lang, _z (standardised log length), _cap, _t (tokens): documents of equal rate together. ``sources``: tokens wanted of each,
+    which must be reachable under the caps (a source wanted to its full cap needs no multiplier and belongs outside). ``langs``: tokens wanted of each,
+    met as far as possible; the mean of _z is drawn to 0 likewise. The greater ``softness``, the less the soft ones count.
+    Each step is one aggregation of ``cells``, which returns a row per source and language.
     """
-    names = [(m, c) for m, cats in margins.items() for c in sorted(cats)]
-    want = np.array([margins[m][c] for m, c in names])
+    names, tongues = sorted(sources), sorted(langs)
     if not names:
-        return {}, 0
-    scale = max(1.0, float(np.abs(want).max()))
+        return Tilt(base, {}, {}, 0.0), 0
+    n, m = len(names), len(tongues)
+    total = sum(sources.values())
+    want = np.array([sources[s] for s in names] + [langs[x] for x in tongues] + [0.0])
+    soft = np.array([0.0] * n + [softness * max(total, 1.0)] * (m + 1))
+    place = {s: k for k, s in enumerate(names)}, {x: n + k for k, x in enumerate(tongues)}
+
+    def tilt(lam: np.ndarray) -> Tilt:
+        return Tilt(base, dict(zip(names, map(float, lam[:n]))), dict(zip(tongues, map(float, lam[n : n + m]))), float(lam[-1]))
 
     def look(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        by = {m: {c: float(v) for (mm, c), v in zip(names, lam) if mm == m} for m in margins}
-        eta: Column = F.lit(0.0)
-        for m in margins:
-            eta = eta + _lookup(m, by[m], 0.0)
-        top = F.log(F.col(cap) / F.lit(base))
+        eta, top, z = tilt(lam).exponent(), F.log(F.col("_cap") / F.lit(base)), F.col("_z")
         free = F.lit(base) * F.exp(F.least(eta, top))
-        value = F.col(tokens) * F.when(eta <= top, free).otherwise(F.col(cap) * (1 + eta - top))
-        mass = F.col(tokens) * free
+        mass = F.col("_t") * free
         inner = F.when(eta < top, mass).otherwise(0.0)
-        one = [(F.col(m) == c) for m, c in names]
-        sums = [F.sum(value).alias("v")]
-        sums += [F.sum(F.when(o, mass).otherwise(0.0)).alias(f"g{i}") for i, o in enumerate(one)]
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if i == j or names[i][0] != names[j][0]]
-        sums += [F.sum(F.when(one[i] & one[j], inner).otherwise(0.0)).alias(f"h{i}_{j}") for i, j in pairs]
-        row = cells.agg(*sums).first()
-        h = np.zeros((len(names), len(names)))
-        for i, j in pairs:
-            h[i, j] = h[j, i] = row[f"h{i}_{j}"] or 0.0
-        g = np.array([row[f"g{i}"] or 0.0 for i in range(len(names))]) - want
-        return (row["v"] or 0.0) - float(lam @ want), g, h
-
-    lam = np.zeros(len(names))
+        value = F.col("_t") * F.when(eta <= top, free).otherwise(F.col("_cap") * (1 + eta - top))
+        rows = cells.groupBy("source", "lang").agg(
+            F.sum(value).alias("v"), F.sum(mass).alias("g"), F.sum(mass * z).alias("gz"), F.sum(inner).alias("h"), F.sum(inner * z).alias("hz"), F.sum(inner * z * z).alias("hzz")
+        )
+        v, g, h = 0.0, np.zeros(n + m + 1), np.zeros((n + m + 1, n + m + 1))
+        for r in sorted(rows.collect(), key=lambda r: (r.source, r.lang)):  # a row per source and language
+            at = [place[0][r.source], *([place[1][r.lang]] if r.lang in place[1] else [])]
+            v += r.v
+            for a in at:
+                g[a] += r.g
+                h[a, -1] += r.hz
+                h[-1, a] += r.hz
+                for b in at:
+                    h[a, b] += r.h
+            g[-1] += r.gz
+            h[-1, -1] += r.hzz
+        return v - float(lam @ want) + 0.5 * float(soft @ (lam * lam)), g - want + soft * lam, h + np.diag(soft)
+
+    lam = np.zeros(n + m + 1)
     v, g, h = look(lam)
     taken = 0
-    while taken < steps and np.abs(g).max() > tolerance * scale:
-        step = np.linalg.solve(h + np.eye(len(names)) * 1e-12 * scale, -g)
+    while taken < steps and np.abs(g).max() > tolerance * max(1.0, total):
+        step = np.linalg.solve(h + np.eye(len(h)) * 1e-12 * max(1.0, total), -g)
         step *= min(1.0, 4.0 / max(1e-300, np.abs(step).max()))
         size = 1.0
         while True:
@@ -144,13 +177,16 @@ def balance(
             size /= 2
         lam, v, g, h = lam + size * step, nv, ng, nh
         taken += 1
-    out: dict[str, dict[str, float]] = {m: {} for m in margins}
-    for (m, c), x in zip(names, lam):
-        out[m][c] = float(x)
-    return out, taken
+    return tilt(lam), taken
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_share: float = 0.5, salt: str = "mix-1", tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def counted_documents(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, source, lang (one spelling each), n_tokens of documents with an id, written down once for all that follows."""
+    counted = count_tokens(documents, tokenizer).where("doc_id is not null")
+    return Durable(documents.sparkSession, "tokens").put(counted.select("doc_id", clean_source(F.col("source")).alias("source"), clean_lang(F.col("lang")).alias("lang"), "n_tokens"))
+
+
+def mixture(documents: DataFrame, targets: DataFrame, total_share: float = 0.5, salt: str = "mix-1", tokenizer: str = TOKENIZER, softness: float = 0.02, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, shares).
 
     copies: doc_id, source, n_tokens, copies of every document used at least once. shares:
@@ -162,32 +198,48 @@ def mixture(documents: DataFrame, targets: DataFrame, total_share: float = 0.5,
     source that can't reach its share even with every document at its cap gives what it can and
     the others make up the total in proportion. Repeated target rows count once (the one with the
     greatest share); null or negative shares count as zero, a null cap as 1. Nothing to mix gives
-    no copies and shares of zero. A row given twice is two documents.
+    no copies and shares of zero. A row given twice is two documents. ``counted`` is what
+    ``counted_documents`` gives, if it is there already.
     """
     spark = documents.sparkSession
     keep = Durable(spark, "mixture")
-    counted = keep.put(
-        count_tokens(documents, tokenizer).where("doc_id is not null").select("doc_id", clean_source(F.col("source")).alias("source"), "n_tokens")
-    )
+    counted = counted_documents(documents, tokenizer) if counted is None else counted
     wanted: dict[str, Target] = {}
     rows = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     for r in rows.orderBy("source", "target_share", "max_repeats").collect():  # one row per source
         share = 0.0 if r.target_share is None or math.isnan(r.target_share) else max(0.0, r.target_share)
         wanted[r.source] = Target(share, max(0.0, float(1 if r.max_repeats is None else r.max_repeats)))
-    have = {r.source: float(r.t) for r in counted.where(F.col("source").isin(*wanted) if wanted else F.lit(False)).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    corpus = float(counted.agg(F.sum("n_tokens")).first()[0] or 0)
+    mine = F.col("source").isin(*wanted) if wanted else F.lit(False)
+    # one pass: tokens per source wanted and language, and moments of the log length over all tokens
+    t, log_n = F.col("n_tokens").cast("double"), F.log(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
+    seen = counted.groupBy(F.when(mine, F.col("source")).alias("source"), "lang").agg(F.sum(t).alias("t"), F.sum(t * log_n).alias("l"), F.sum(t * log_n * log_n).alias("q")).collect()
+    have: dict[str, float] = {}
+    spoken: dict[str, float] = {}
+    for r in sorted(seen, key=lambda r: (r.source or "", r.lang)):
+        spoken[r.lang] = spoken.get(r.lang, 0.0) + r.t
+        if r.source:
+            have[r.source] = have.get(r.source, 0.0) + r.t
+    corpus = sum(spoken.values())
+    mean = sum(r.l for r in seen) / corpus if corpus else 0.0
+    spread = math.sqrt(max(sum(r.q for r in seen) / corpus - mean * mean, 0.0)) if corpus else 0.0
     total = total_share * corpus
     goal = feasible_tokens(wanted, have, total)
     capped = {s for s, t in wanted.items() if goal[s] >= t.cap * have.get(s, 0.0) - 1e-9}
     cap = {s: t.cap for s, t in wanted.items()}
-    usable = counted.where(F.col("source").isin(*wanted) if wanted else F.lit(False)).where("n_tokens > 0").withColumn("_cap", _lookup("source", cap, 0.0))
+    usable = counted.where(mine).where("n_tokens > 0").withColumn("_cap", _lookup("source", cap, 0.0)).withColumn("_z", (log_n - F.lit(mean)) / F.lit(spread if spread > 1e-9 else 1.0))
     free = {s: goal[s] for s in wanted if s not in capped and goal[s] > 0 and have.get(s, 0) > 0}
     base = max(total_share, 1e-9)
-    cells = keep.put(usable.where(F.col("source").isin(*free) if free else F.lit(False)).groupBy("source", "_cap").agg(F.sum("n_tokens").cast("double").alias("_t")))
-    lam, _ = balance(cells, "_t", "_cap", {"source": free}, base)
-    tilt = F.lit(base) * F.exp(_lookup("source", lam.get("source", {}), 0.0))
+    # languages keep their shares of the corpus; what sources at their cap give is given
+    given: dict[str, float] = {}
+    for r in seen:
+        if r.source in capped:
+            given[r.lang] = given.get(r.lang, 0.0) + cap[r.source] * r.t
+    langs = {x: max(0.0, total * c / corpus - given.get(x, 0.0)) for x, c in spoken.items()} if corpus else {}
+    is_free = F.col("source").isin(*free) if free else F.lit(False)
+    cells = keep.put(usable.where(is_free).groupBy("source", "lang", "n_tokens", "_z", "_cap").agg(F.sum("n_tokens").cast("double").alias("_t")))
+    tilt, _ = balance(cells, free, langs, base, softness)
     flat = {s: (t.cap if s in capped else 0.0) for s, t in wanted.items() if s not in free}
-    rate = F.when(F.col("source").isin(*free) if free else F.lit(False), F.least(F.col("_cap"), tilt)).otherwise(_lookup("source", flat, 0.0))
+    rate = F.when(is_free, F.least(F.col("_cap"), F.lit(base) * F.exp(tilt.exponent()))).otherwise(_lookup("source", flat, 0.0))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
     rated = usable.withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
     rated = rated.withColumn("_turn", u - (F.col("_rate") - F.col("_whole")))

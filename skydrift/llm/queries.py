@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skydrift.llm import groups, leakage, mixing, pii, sampling, survivors
@@ -87,12 +88,16 @@ def p2_survivors(spark, d):
     return _survived(spark, d).select("group_id", "representative", v, F.col(n).cast("double").alias(n), F.array_join(b, "|").alias(b))
 
 
+_STRATA = ", ".join(f"('{q}', '{sampling.threshold(r)}')" for q, r in sampling.PHOTON_RATES.by_stratum.items())
+
+
 @R.add(
     "p3_sample",
     f"""
-select distinct run_id & 4294967295 run_id, event_id & 4294967295 event_id from photons
-where md5('{sampling.PHOTON_SALT}:' || (run_id & 4294967295) || ':' || (event_id & 4294967295))[1:{sampling.DIGITS}]
-      < '{sampling.threshold(sampling.PHOTON_RATES.default)}'
+with strata(quarter, bound) as (values {_STRATA}),
+k as (select distinct run_id & 4294967295 run_id, event_id & 4294967295 event_id from photons where run_id is not null and event_id is not null)
+select run_id, event_id from k left join strata on (run_id // {sampling.QUARTER_SECONDS})::varchar = quarter
+where md5('{sampling.PHOTON_SALT}:' || run_id || ':' || event_id)[1:{sampling.DIGITS}] < coalesce(bound, '{sampling.threshold(sampling.PHOTON_RATES.default)}')
 """,
 )
 def p3_sample(spark, d):
@@ -131,14 +136,41 @@ def p7_passages(spark, d):
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+#: Token counts of the documents of a folder, made once per program and kept as long as their table is there.
+_COUNTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _mixture(spark, d):
+    docs, key = table(spark, d, "documents"), (spark.sparkContext.applicationId, d)
+    have = _COUNTED.get(key)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if have is None or not path(have._durable_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(have._durable_path)):
+        have = _COUNTED[key] = mixing.counted_documents(docs)
+    return mixing.mixture(docs, table(spark, d, "mix_targets"), counted=have)
+
+
 @R.add("p8_mixture")
 def p8_mixture(spark, d):
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return _mixture(spark, d)[0]
 
 
 @R.add("p8_shares")
 def p8_shares(spark, d):
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return _mixture(spark, d)[1]
+
+
+@R.add("p8_kept", "select source, true cap_kept, true target_met, true total_met from mix_targets")
+def p8_kept(spark, d):
+    """Per source: no document more often than allowed, tokens within one document of what is wanted; and the total, half the corpus's tokens, met as closely."""
+    copies, shares = _mixture(spark, d)
+    caps = table(spark, d, "mix_targets").select("source", "max_repeats")
+    longest = copies.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    corpus = _COUNTED[spark.sparkContext.applicationId, d].agg(F.sum("n_tokens").alias("all"))
+    total = shares.agg(F.sum("tokens").alias("mixed"), F.sum("target_tokens").alias("wanted"))
+    far = F.abs(F.col("tokens") - F.col("target_tokens")) <= F.coalesce("longest", F.lit(0))
+    met = (F.abs(F.col("wanted") * 2 - F.col("all")) < 1e-3 * F.col("all")) & (F.abs(F.col("mixed") * 2 - F.col("all")) < 1e-3 * F.col("all") + 1e5)
+    j = shares.join(caps, "source").join(longest, "source", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(corpus))  # one row each
+    return j.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"), far.alias("target_met"), met.alias("total_met"))
 
 
 @R.add("p9_found")

@@ -8,10 +8,11 @@ a decision. Rates are fixed per stratum and may only be raised, which keeps what
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skydrift.config import WINDOW_START, WINDOW_STOP
@@ -45,6 +46,39 @@ class Rates:
         return Rates(d, merged)
 
 
+def stored_rates(spark: SparkSession, path: str) -> Rates | None:
+    """The rates last stored below ``path``, None if there are none."""
+    found = _versions(spark, path)
+    if not found:
+        return None
+    got = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/{found[-1]}").collect()))
+    return Rates(got["default"], got["by_stratum"])
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+
+def store_rates(spark: SparkSession, path: str, rates: Rates) -> Rates:
+    """Stores rates beside the data they select from, as the next version; lower ones than those stored are refused.
+
+    Strata not named keep their rate, raised to the default at least. Of two programs that store the same version one fails.
+    """
+    last = stored_rates(spark, path)
+    rates = last.raised(rates.default, rates.by_stratum) if last else rates
+    if rates != last:
+        name = f"{path}/{len(_versions(spark, path)) + 1:06d}.json"
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p.getParent())
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps({"default": rates.default, "by_stratum": dict(rates.by_stratum)}).encode()))
+        out.close()
+    return rates
+
+
 def threshold(rate: float) -> str:
     """The bound below which hashes are selected, as DIGITS hexadecimal digits ('g': all)."""
     n = round(rate * 16**DIGITS)
@@ -84,12 +118,16 @@ PHOTON_RATES = Rates(1 / 50, {str(q): 1 / 50 for q in QUARTERS})
 PHOTON_SALT = "photon-sample-1"
 
 
-def photon_sample(photons: DataFrame, rates: Rates = PHOTON_RATES, salt: str = PHOTON_SALT) -> DataFrame:
+def photon_sample(photons: DataFrame, rates: Rates = PHOTON_RATES, salt: str = PHOTON_SALT, kept: str | None = None) -> DataFrame:
     """run_id, event_id (low 32 bits) of the photons selected, one row per photon.
 
+    With ``kept``, a folder beside the data, the rates are stored there and may not be lower than the last ones.
+
     The stratum is the quarter in which the run began, which the run id tells: a function of
     the key, unlike anything that a later delivery may give otherwise.
     """
+    if kept:
+        rates = store_rates(photons.sparkSession, kept, rates)
     run = F.col("run_id").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     event = F.col("event_id").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     quarter = F.floor(run / F.lit(QUARTER_SECONDS))

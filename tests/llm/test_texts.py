@@ -201,14 +201,35 @@ def test_mixture_of_nothing(spark):
     assert c.count() == 0 and s.count() == 1
 
 
-def test_newton_on_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 10.0, 2.0), ("a", "y", 30.0, 2.0), ("b", "x", 20.0, 0.6), ("b", "y", 40.0, 0.6)], "s string, l string, t double, cap double")
-    lam, steps = mixing.balance(cells, "t", "cap", {"s": {"a": 30.0, "b": 25.0}, "l": {"x": 20.0}}, 0.5)
-    w = {}
-    for s, l_, t, cap in [("a", "x", 10.0, 2.0), ("a", "y", 30.0, 2.0), ("b", "x", 20.0, 0.6), ("b", "y", 40.0, 0.6)]:
-        w[s, l_] = t * min(cap, 0.5 * math.exp(lam["s"][s] + lam["l"].get(l_, 0.0)))
-    assert abs(w["a", "x"] + w["a", "y"] - 30) < 1e-6 and abs(w["b", "x"] + w["b", "y"] - 25) < 1e-6 and abs(w["a", "x"] + w["b", "x"] - 20) < 1e-6
-    assert 0 < steps < 40
+def test_newton_on_sources_languages_and_length(spark):
+    rng = random.Random(8)
+    rows = [(s, l_, rng.gauss(0, 1), c, float(rng.randint(5, 300))) for s, c in (("a", 2.0), ("b", 0.6)) for l_ in ("x", "y") for _ in range(60)]
+    cells = spark.createDataFrame(rows, "source string, lang string, _z double, _cap double, _t double")
+    t = {s: sum(r[4] for r in rows if r[0] == s) for s in "ab"}
+    langs = {"x": 0.4 * t["a"], "y": 0.5 * t["a"] + 0.45 * t["b"] - 0.1 * t["a"]}
+    tilt, steps = mixing.balance(cells, {"a": 0.8 * t["a"], "b": 0.45 * t["b"]}, langs, 0.5, softness=1e-4)
+    rate = lambda r: min(r[3], 0.5 * math.exp(tilt.source[r[0]] + tilt.lang[r[1]] + tilt.length * r[2]))
+    got = lambda f: sum(r[4] * rate(r) for r in rows if f(r))
+    for s, share in (("a", 0.8), ("b", 0.45)):
+        assert abs(got(lambda r: r[0] == s) - share * t[s]) < 1e-5 * t[s]  # noqa: B023
+    assert abs(got(lambda r: r[1] == "x") - langs["x"]) < 0.01 * t["a"] and abs(sum(r[4] * rate(r) * r[2] for r in rows)) < 0.01 * t["a"]
+    assert len({round(rate(r), 6) for r in rows if r[0] == "a"}) > 50 and 0 < steps < 40
+
+
+def test_rates_differ_inside_a_source_and_languages_keep_their_share(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(("the", "track", "bends", "north", "of", "tile")) for _ in range(n))
+    rows = [("big", rng.choice(("en", "en", "en", "de")), say(rng.randint(5, 60))) for _ in range(400)] + [("small", "de", say(20)) for _ in range(100)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string")
+    c, s = mixing.mixture(d, targets(spark, [("big", 0.6, 3), ("small", 0.4, 3)]))
+    tokens = {i: len(mixing.encoder().encode_ordinary(r[2])) for i, r in enumerate(rows)}
+    got = {r.doc_id: r.copies for r in c.collect()}
+    of = lambda f: sum(n * tokens[i] for i, n in got.items() if f(rows[i]))
+    total = sum(tokens.values()) / 2
+    assert abs(of(lambda r: r[0] == "big") - 0.6 * total) <= 60 and abs(of(lambda r: r[0] == "small") - 0.4 * total) <= 60
+    # German is held back inside the big source, as the small one brings more than its share
+    share = lambda r0: of(lambda r: r[:2] == ("big", r0)) / sum(tokens[i] for i, r in enumerate(rows) if r[:2] == ("big", r0))
+    assert share("de") < 0.8 * share("en")
 
 
 # ---------------------------------------------------------------- personal information
@@ -335,3 +356,21 @@ def test_photons_are_sampled_at_the_rate_of_their_quarter(spark):
     assert got == key(sampling.photon_sample(p, sampling.Rates(1 / 50))) and 300 < len(got) < 500
     more = key(sampling.photon_sample(p, sampling.PHOTON_RATES.raised(by_stratum={last: 1.0})))
     assert got < more and sum(r > WINDOW_START + 1 for r, _ in more) == 10000 and {k for k in more if k[0] < WINDOW_START + 1} == {k for k in got if k[0] < WINDOW_START + 1}
+
+
+def test_stored_rates_are_only_raised(spark, tmp_path):
+    from skydrift.llm import sampling
+
+    at = f"file://{tmp_path}/rates"
+    quarter = 61 * sampling.QUARTER_SECONDS
+    p = spark.range(20000).selectExpr(f"cast({quarter} + (id % 2) * {sampling.QUARTER_SECONDS} as long) run_id", "id event_id")
+    key = lambda r: {(x.run_id, x.event_id) for x in sampling.photon_sample(p, r, kept=at).collect()}
+    assert sampling.stored_rates(spark, at) is None
+    first = key(sampling.Rates(0.02, {"61": 0.1, "62": 0.02}))
+    more = key(sampling.Rates(0.02, {"62": 0.05}))  # 61 keeps its rate
+    assert first < more and {k for k in first if k[0] < quarter + 1} == {k for k in more if k[0] < quarter + 1}
+    assert sampling.stored_rates(spark, at) == sampling.Rates(0.02, {"61": 0.1, "62": 0.05})
+    for lower in (sampling.Rates(0.01), sampling.Rates(0.02, {"61": 0.05})):
+        with pytest.raises(ValueError):
+            key(lower)
+    assert key(sampling.Rates(0.02)) == more and len(sampling._versions(spark, at)) == 2
