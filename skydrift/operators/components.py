@@ -25,12 +25,13 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", ends: tup
         return now.select(F.col("n").alias(node), F.col("l").alias("component"))
     while True:
         heard = both.join(now, both["v"] == now["n"]).groupBy("u").agg(F.min("l").alias("m"))
-        low = keep.put(now.join(heard, now["n"] == heard["u"], "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("m")))
-        # jump: what the node behind the label hears, if anything
+        low = now.join(heard, now["n"] == heard["u"], "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
+        # jump: what the node behind the label hears, if anything; worked out twice rather than written down in between
         ahead = low.select(F.col("n").alias("t"), F.col("m").alias("tm"))
-        new = keep.put(low.join(ahead, F.col("m") == F.col("t"), "left").select("n", F.least("m", F.coalesce("tm", "m")).alias("l"), (F.least("m", F.coalesce("tm", "m")) != F.col("l")).alias("moved")))
+        best = F.least("m", F.coalesce("tm", "m"))
+        new = keep.put(low.join(ahead, F.col("m") == F.col("t"), "left").select("n", best.alias("l"), (best != F.col("l")).alias("moved")))
         moved = new.where("moved").limit(1).count()
-        keep.drop(now, low)
+        keep.drop(now)
         now = new
         if not moved:
             return now.select(F.col("n").alias(node), F.col("l").alias("component"))

@@ -146,8 +146,7 @@ def p6_compacted(spark, d):
     row = F.xxhash64(*[c for c in photons.columns if c != "archive_id"])
     sums = lambda df, n, h: df.groupBy("archive_id").agg(F.count(F.lit(1)).alias(n), F.sum(row.cast("decimal(20,0)")).alias(h))
     before = keep.put(sums(spark.read.parquet(root), "n_before", "_h"))
-    big = 64 * compaction.SMALL_BYTES
-    compaction.compact_table(spark, root, ["archive_id"], small_bytes=big, max_small=1, target_bytes=16 * big)
+    compaction.compact_table(spark, root, ["archive_id"], small_bytes=16 * compaction.SMALL_BYTES, max_small=1)
     after = sums(spark.read.parquet(root), "n_after", "_g")
     files = compaction.table_files(spark, root).groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("small_files"))
     value = F.regexp_extract("part", r"archive_id=(-?\d+)", 1)
