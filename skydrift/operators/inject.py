@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from skydrift.config import ENERGY_MAX, ENERGY_MIN
+from skydrift.operators.radius_join import near_pairs
 from skydrift.functions import hashing, sphere
 from skydrift.functions.statistics import psf_radius
 
@@ -74,9 +75,10 @@ def cap_memberships(truth: DataFrame, tiles: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"{bad[0].tile_id} has no usable analysis radius")
     t = tiles.select("tile_id", "ra_degrees", "dec_degrees", "analysis_radius_degrees")
-    near = sphere.separation(F.col("ra"), F.col("dec"), F.col("ra_degrees"), F.col("dec_degrees")) <= F.col("analysis_radius_degrees")
-    # a truth has one row per time bin
-    return t.join(F.broadcast(truth), near).groupBy("tile_id").agg(F.array_sort(F.collect_list("bin_index")).alias("bins"))
+    widest = tiles.agg(F.max("analysis_radius_degrees")).first()[0] or 0.0
+    near = F.col("sep") <= F.col("analysis_radius_degrees")
+    met = near_pairs(truth.select("bin_index", "ra", "dec"), t, [], F.lit(float(widest)), ("ra", "dec"), ("ra_degrees", "dec_degrees"), near)
+    return met.groupBy("tile_id").agg(F.array_sort(F.collect_list("bin_index")).alias("bins"))
 
 
 def track_midpoint(ra: float, dec: float, velocity: float, angle: float, east: float = 0.0, north: float = 0.0) -> tuple[float, float]:
@@ -100,6 +102,15 @@ def check_template(photons: DataFrame, ra: float, dec: float, radius: float, n_b
         raise ValueError(f"no template photons in bins {none}")
 
 
+def injected_tiles(photons: DataFrame, tiles: DataFrame, truth: DataFrame, per_bin: int, seed: int, index: float = 2.0, radius: float = 18.0) -> DataFrame:
+    """Injected rows of all tiles whose cap holds the source, with cap_tile: what is added to each tile's files.
+
+    ``photons`` (with bin_index) are the templates and must surround the source.
+    """
+    caps = tiles.withColumn("analysis_radius_degrees", F.lit(float(radius)))
+    return routed(inject(photons, truth, per_bin, index, seed), cap_memberships(truth, caps))
+
+
 def routed(injected: DataFrame, memberships: DataFrame) -> DataFrame:
     """Injected rows once per member tile, for the bins in which it is a member."""
     m = memberships.select(F.col("tile_id").alias("cap_tile"), F.explode("bins").alias("bin_index"))

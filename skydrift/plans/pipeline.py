@@ -48,14 +48,23 @@ def candidates(photons: DataFrame, catalogue: DataFrame, region: B.Region, confi
     return keep.put(T.numbered(first, config))
 
 
-def tracks(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:
-    """Linked tracks that pass the motion filter and aren't near-duplicates of better ones."""
+def linked(found: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """All tracks long enough, whatever their motion."""
+    return Durable(found.sparkSession, "linked").put(T.link_tracks(found, T.link_edges(found, config), config))
+
+
+def chosen(linked: DataFrame, found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:
+    """Tracks that pass the motion filter and aren't near-duplicates of better ones."""
     keep = Durable(found.sparkSession, "tracks")
-    linked = keep.put(T.link_tracks(found, T.link_edges(found, config), config))
     metrics = T.motion_metrics(T.track_points(linked, found))
     return keep.put(T.drop_near_duplicates(keep.put(T.moving(linked, metrics, config, bypass)), config))
 
 
+def tracks(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:
+    """Linked tracks that pass the motion filter and aren't near-duplicates of better ones."""
+    return chosen(linked(found, config), found, config, bypass)
+
+
 def records(found: DataFrame, config: SearchConfig = SearchConfig(), bypass: bool = False) -> DataFrame:
     return T.track_records(tracks(found, config, bypass), found, config)
 
