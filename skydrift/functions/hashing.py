@@ -111,6 +111,15 @@ def with_draws(df: DataFrame, run_id: str, event_id: str, seed: int, names: tupl
     return df.drop(base)
 
 
-def keyed_uniform(*parts: Column, salt: int = 0) -> Column:
-    """A uniform of any key columns, for draws that need no fixed stream."""
-    return to_uniform(F.xxhash64(F.lit(salt), *parts))
+def with_keyed(df: DataFrame, out: str, key: Column, salt: int = 0, more: Column | None = None) -> DataFrame:
+    """df with column ``out``, a mixed long of a key (with ``more``: of the low words of both), the same on any partitioning."""
+    key = key.cast("long") if more is None else photon_key(more, key)
+    return with_splitmix(df, key.bitwiseXOR(F.lit(signed(salt * SEED_STEP))), out)
+
+
+def with_uniforms(df: DataFrame, key: Column, salts: dict[str, int], more: Column | None = None) -> DataFrame:
+    """df with a uniform per name, for draws that need no fixed stream."""
+    for name, salt in salts.items():
+        df = with_keyed(df, name, key, salt, more)
+        df = df.withColumn(name, to_uniform(F.col(name)))
+    return df

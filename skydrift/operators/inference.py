@@ -111,3 +111,31 @@ def missing_seeds(counts: DataFrame, expected: Sequence[int]) -> DataFrame:
 
 def repeated_seeds(counts: DataFrame) -> DataFrame:
     return counts.groupBy("campaign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def empirical_cdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, share: the share of rows with values up to each distinct one. Values are counted first, so repeated ones are one row."""
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*keys)
+    return counts.select(*keys, value, (F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) / F.sum("_n").over(w)).alias("share"))
+
+
+def ks_distance(cdf: DataFrame, expected: Column, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, distance: the greatest distance of an empirical_cdf from an expected one, on either side of each step."""
+    before = F.coalesce(F.lag("share").over(W.partitionBy(*keys).orderBy(value)), F.lit(0.0))
+    d = cdf.select(*keys, F.greatest(F.abs(F.col("share") - expected), F.abs(before - expected)).alias("_d"))
+    return d.groupBy(*keys).agg(F.max("_d").alias("distance"))
+
+
+def volume_change(coarse: DataFrame, primary: DataFrame, keys: Sequence[str], volume: str = "volume") -> DataFrame:
+    """keys, change: coarse / primary - 1 where both have a volume; null where the primary one is 0."""
+    a, b = coarse.select(*keys, F.col(volume).alias("_a")), primary.select(*keys, F.col(volume).alias("_b"))
+    return a.join(b, list(keys)).select(*keys, F.when(F.col("_b") != 0, F.col("_a") / F.col("_b") - 1).alias("change"))
+
+
+def release_differences(limits: DataFrame, nodes: DataFrame, upper: float, keys: Sequence[str] = ("velocity", "photons_per_bin"), tolerance: float = 1e-10) -> DataFrame:
+    """keys, problem: published source limits (source_limit) that don't follow from the upper limit and the response (efficiency) there."""
+    j = limits.select(*keys, "source_limit").join(nodes.select(*keys, "efficiency", F.lit(True).alias("_has")), list(keys), "left")
+    want = F.lit(float(upper)) / F.col("efficiency")
+    off = F.abs(F.col("source_limit") - want) > tolerance + tolerance * F.abs(want)
+    return j.select(*keys, F.when(F.col("_has").isNull(), "no response").when((F.col("efficiency") > 0) & off, "source limit").alias("problem")).where("problem is not null")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from skydrift.config import ENERGY_MAX, ENERGY_MIN
-from skydrift.operators.radius_join import near_pairs
 from skydrift.functions import hashing, sphere
 from skydrift.functions.statistics import psf_radius
+from skydrift.operators.radius_join import near_pairs
 
 
 def power_law_energy(u: Column, index: float, low: float = ENERGY_MIN, high: float = ENERGY_MAX) -> Column:
@@ -36,12 +36,12 @@ def template_rows(photons: DataFrame, per_bin: int, seed: int) -> DataFrame:
     Bins with fewer rows give each several times. The pick is a top-k per bin: partial windows keep
     at most ``per_bin`` rows per task and bin.
     """
-    order = W.partitionBy("bin_index").orderBy(F.xxhash64(F.lit(seed), F.col("event_id")), "event_id")
-    top = photons.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_bin)
+    order = W.partitionBy("bin_index").orderBy("_h", "event_id")
+    top = hashing.with_keyed(photons, "_h", F.col("event_id"), seed).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_bin)
     n = top.groupBy("bin_index").agg(F.count(F.lit(1)).alias("_n"))
     copies = F.ceil((F.lit(per_bin) - F.col("_k") + 1) / F.col("_n")).cast("int")
     many = top.join(n, "bin_index").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return many.drop("_k", "_n")
+    return many.drop("_k", "_n", "_h")
 
 
 def empty_bins(photons: DataFrame, n_bins: int) -> DataFrame:
@@ -57,7 +57,8 @@ def inject(photons: DataFrame, truth: DataFrame, per_bin: int, index: float, see
     scatter is Gaussian with the 68 % radius of the photon's energy.
     """
     rows = template_rows(photons, per_bin, seed)
-    u = [hashing.keyed_uniform(F.col("event_id"), F.col("copy"), salt=seed * 16 + k) for k in range(3)]
+    rows = hashing.with_uniforms(rows, F.col("event_id"), {f"_u{k}": seed * 16 + k for k in range(3)}, F.col("copy"))
+    u = [F.col(f"_u{k}") for k in range(3)]
     e = power_law_energy(u[0], index) if energy is None else energy
     rows = rows.withColumn("energy", e).drop("ra", "dec").join(truth.select("bin_index", F.col("ra").alias("_ra"), F.col("dec").alias("_dec")), "bin_index")
     r = psf_radius(F.col("energy")) / 1.509 * F.sqrt(-2 * F.log(1 - u[1]))
@@ -225,3 +226,33 @@ def folded_energy(uniforms: DataFrame, cdf: DataFrame, u: str = "u") -> DataFram
     seg = seg.withColumn("_s", F.explode(F.sequence(first, last)))
     got = uniforms.withColumn("_s", F.floor(F.col(u) * slices).cast("int")).join(F.broadcast(seg), "_s").where((F.col(u) >= F.col("c0")) & (F.col(u) < F.col("c1")))
     return got.withColumn("energy", F.col("e0") + (F.col("e1") - F.col("e0")) * (F.col(u) - F.col("c0")) / (F.col("c1") - F.col("c0"))).drop("_s", "k", "c0", "c1", "e0", "e1")
+
+
+def quantile(cdf: DataFrame, points: Sequence[float]) -> DataFrame:
+    """u, energy: energies below which the stated shares of a folded_cdf lie, linear between its points."""
+    spark = cdf.sparkSession
+    return folded_energy(spark.createDataFrame([(float(u),) for u in points], "u double"), cdf).select("u", F.col("energy"))
+
+
+def probability_between(cdf: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (low, high) with probability: the share of a folded_cdf between two energies; energies outside count as the ends."""
+    w = W.orderBy("k")  # the grid is a few ten thousand points by definition
+    g = cdf.select("energy", "cdf", F.lead("energy").over(w).alias("_e1"), F.lead("cdf").over(w).alias("_c1"), F.row_number().over(w).alias("_k"))
+    ends = g.agg(F.min("energy").alias("_lo"), F.max("energy").alias("_hi"))
+    e = edges.crossJoin(F.broadcast(ends))  # one row
+    for name in ("low", "high"):
+        x = F.greatest(F.least(F.col(name), F.col("_hi")), F.col("_lo"))
+        share = F.col("cdf") + (F.col("_x") - F.col("energy")) / (F.col("_e1") - F.col("energy")) * (F.col("_c1") - F.col("cdf"))
+        e = e.withColumn("_x", x).join(F.broadcast(g), (F.col("_x") >= F.col("energy")) & (F.coalesce(F.col("_x") < F.col("_e1"), F.lit(True)))).withColumn(f"_{name}", F.when(F.col("_e1").isNull(), F.col("cdf")).otherwise(share)).drop("_x", "energy", "cdf", "_e1", "_c1", "_k")
+    return e.withColumn("probability", F.col("_high") - F.col("_low")).drop("_high", "_low", "_lo", "_hi")
+
+
+def band_probabilities(cdf: DataFrame, bands: Sequence[tuple[float, float]]) -> DataFrame:
+    return probability_between(cdf, cdf.sparkSession.createDataFrame([(float(a), float(b)) for a, b in bands], "low double, high double"))
+
+
+def provenance(layers: Sequence[tuple[float, float]], index: float = 2.0, points: int = 32_769) -> dict[str, object]:
+    """What a folded sampler was made of. Only the index 2 is folded."""
+    if index != 2.0:
+        raise ValueError("the folded spectrum has index 2")
+    return {"index": index, "points": points, "layers": len(layers), "lowest": layers[0][0], "highest": layers[-1][0], "least_exposure": min(x for _, x in layers), "most_exposure": max(x for _, x in layers)}

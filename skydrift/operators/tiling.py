@@ -110,8 +110,9 @@ def union_coverage(spark: SparkSession, tiles: DataFrame, radius: float, samples
 
     Directions are keyed by (seed, number), so the outcome doesn't depend on partitioning.
     """
-    u, v = (hashing.keyed_uniform(F.col("id"), salt=seed * 2 + k) for k in (0, 1))
-    points = spark.range(samples).select("id", (u * 360).alias("ra"), F.degrees(F.asin(2 * v - 1)).alias("dec"))
+    drawn = hashing.with_uniforms(spark.range(samples), F.col("id"), {"_u": seed * 2, "_v": seed * 2 + 1})
+    u, v = F.col("_u"), F.col("_v")
+    points = drawn.select("id", (u * 360).alias("ra"), F.degrees(F.asin(2 * v - 1)).alias("dec"))
     caps = tiles.withColumn("_radius", F.lit(float(radius)))
     inside = near_regions(points, ["id"], caps, ("tile_id", "ra_degrees", "dec_degrees", "_radius"))
     hit = inside.groupBy("id").agg(F.count(F.lit(1)).alias("multiplicity")).groupBy("multiplicity").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from skydrift.plans import data_queries, search_queries
+    from skydrift.plans import data_queries, search_queries, survey_queries
 
-    return [data_queries.R, search_queries.R]
+    return [data_queries.R, search_queries.R, survey_queries.R]

