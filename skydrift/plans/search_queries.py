@@ -593,26 +593,6 @@ def search(spark, d: str, config: SearchConfig = CONFIG):
     return candidates(view(spark, d), table(spark, d, "catalog_sources"), REGION, config, cuts=False)
 
 
-@R.add("q_same_bin_dedup")
-def q_same_bin_dedup(spark, d):
-    c = search(spark, d)
-    return c.select("bin_index", "band", "cand", r6("c_ra", "ra"), r6("c_dec", "dec"), "n_on", "n_off", r6("sigma", "sigma"), "merged_count")
-
-
-@R.add("q_link_tracks")
-def q_link_tracks(spark, d):
-    c = search(spark, d)
-    t = T.link_tracks(c, T.link_edges(c, CONFIG), CONFIG)
-    return t.select("track", "length", r6("score", "score"), "path")
-
-
-@R.add("q_track_neardup")
-def q_track_neardup(spark, d):
-    c = search(spark, d)
-    t = T.link_tracks(c, T.link_edges(c, CONFIG), CONFIG)
-    return T.drop_near_duplicates(t, CONFIG).select("track", "length", r6("score", "score"))
-
-
 @R.add("q_search")
 def q_search(spark, d):
     from skydrift.plans.pipeline import search as whole
@@ -698,14 +678,6 @@ def q_motion_filter(spark, d):
     return m.where((F.col("anisotropy") >= CONFIG.least_anisotropy) & (F.col("time_correlation") >= CONFIG.least_time_correlation) & (F.col("consistency") >= 0)).select("id")
 
 
-@R.add("q_track_records")
-def q_track_records(spark, d):
-    from skydrift.plans.pipeline import records
-
-    c = search(spark, d)
-    return records(c, CONFIG).select("tile_id", "candidate_number", "track_length", r6("ra_start", "ra_start"), r6("ra_end", "ra_end"), "detection_band_photons", "detected_bands", "bin_indices")
-
-
 @R.add(
     "q_owner_filter",
     f"""with {_VP}, mid as (select id, tile_id, {sql_mean('ra', '"dec"')[0]} ra, {sql_mean('ra', '"dec"')[1]} "dec" from vp group by 1, 2),

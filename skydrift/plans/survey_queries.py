@@ -6,9 +6,10 @@ import json
 import os
 
 import numpy as np
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from skydrift.config import WINDOW_START, WINDOW_STOP, bin_edges
+from skydrift.config import SEED_BANDS, WINDOW_START, WINDOW_STOP, band_label, bin_edges
 from skydrift.functions import hashing
 from skydrift.operators import inference, inject, null, photons as P, seeding as S, tiling, tracks as T
 from skydrift.plans import search_queries as Q
@@ -251,6 +252,107 @@ def q_dedup_report(spark, d):
     return deduplication_report(Q.valid_points(spark, d), Q.CONFIG).drop("found")
 
 
+# ---------------------------------------------------------------- detections of the tracks table, linked anew
+
+_LABELS = [band_label(lo, hi) for lo, hi, _ in SEED_BANDS]
+
+
+def detections(spark, d: str) -> DataFrame:
+    """The points of all valid tracks as detections per campaign and tile, each once, numbered as the search does."""
+    t = table(spark, d, "tracks")
+    last = F.max(F.struct("loaded_at", "points", "tile_id", "search_root")).alias("r")
+    v = t.groupBy("_candidate_id").agg(last)
+    p = v.select(F.concat_ws("/", "r.search_root", "r.tile_id").alias("tile_id"), F.explode("r.points").alias("p")).where("p.ra is not null and p.dec is not null")
+    sigma = F.coalesce(F.nanvl(F.col("p.sigma"), F.lit(0.0)), F.lit(0.0))
+    band = F.array_position(F.array(*[F.lit(x) for x in _LABELS]), F.col("p.band")).cast("int") - 1
+    one = p.select("tile_id", "p.bin_index", band.alias("band"), F.col("p.ra").alias("c_ra"), F.col("p.dec").alias("c_dec"), sigma.alias("sigma"), F.col("p.n_photons").alias("n_on"), "p.expected_bg", F.col("p.epsilon_degrees").alias("eps")).distinct()
+    label = F.row_number().over(W.partitionBy("tile_id", "bin_index", "band").orderBy("c_ra", "c_dec", "sigma", "n_on", "expected_bg"))
+    # a tile's detections are a few thousand at most
+    per_band = F.create_map(F.element_at(F.array(*[F.lit(x) for x in _LABELS]), F.col("band") + 1), F.col("n_on"))
+    return T.numbered(one.withColumn("label", label), Q.CONFIG).withColumn("photons_per_band", per_band)
+
+
+_EDGES = bin_edges()
+_DETECTED = f"""dv as (select * from tracks qualify row_number() over (partition by _candidate_id order by loaded_at desc, points desc) = 1),
+dq as (select search_root || '/' || tile_id tile_id, unnest(points) p from dv),
+d0 as (select distinct tile_id, p.bin_index bin_index, (list_position([{', '.join(f"'{x}'" for x in _LABELS)}], p.band) - 1)::int band, p.ra c_ra, p."dec" c_dec, case when p.sigma is null or isnan(p.sigma) then 0 else p.sigma end sigma, p.n_photons n_on, p.expected_bg expected_bg, p.epsilon_degrees eps
+  from dq where p.ra is not null and p."dec" is not null),
+d1 as (select *, row_number() over (partition by tile_id, bin_index, band order by c_ra, c_dec, sigma, n_on, expected_bg) lb from d0),
+fd as materialized (select *, row_number() over (partition by tile_id order by bin_index, sigma desc, band, lb)::int cand, list_extract([{', '.join(lit((a + b) / 2) for a, b in zip(_EDGES, _EDGES[1:]))}], bin_index + 1) t_mid from d1)"""
+
+
+@R.add(
+    "q_same_bin_dedup",
+    f"""with recursive {_DETECTED}, rk as materialized (select *, row_number() over (partition by tile_id, bin_index order by sigma desc, cand)::int p from fd),
+ad as (select b.tile_id, b.bin_index, b.p, list(a.p order by a.p) nb from rk a join rk b on a.tile_id = b.tile_id and a.bin_index = b.bin_index and a.p < b.p and {Q.sql_sep('a.c_ra', 'a.c_dec', 'b.c_ra', 'b.c_dec')} <= greatest(a.eps, b.eps) group by 1, 2, 3),
+st as materialized (select rk.tile_id, rk.bin_index, rk.p, coalesce(nb, []) nb from rk left join ad on ad.tile_id = rk.tile_id and ad.bin_index = rk.bin_index and ad.p = rk.p),
+gr(tile_id, bin_index, k, kept) as (select distinct tile_id, bin_index, 0, []::int[] from st
+  union all select gr.tile_id, gr.bin_index, k + 1, case when list_has_any(kept, nb) then kept else list_append(kept, k + 1) end from gr join st on st.tile_id = gr.tile_id and st.bin_index = gr.bin_index and st.p = k + 1),
+ke as (select tile_id, bin_index, arg_max(kept, k) kept from gr group by 1, 2),
+ow as (select st.tile_id, st.bin_index, st.p, case when list_contains(kept, st.p) then st.p else list_min(list_intersect(kept, nb)) end o from st join ke on ke.tile_id = st.tile_id and ke.bin_index = st.bin_index),
+mg as (select ow.tile_id, ow.bin_index, o, count(*)::int merged_count, array_to_string(list_sort(list(distinct band)), '|') merged_bands from ow join rk on rk.tile_id = ow.tile_id and rk.bin_index = ow.bin_index and rk.p = ow.p group by 1, 2, 3)
+select mg.tile_id, mg.bin_index, cand, merged_count, merged_bands from mg join rk on rk.tile_id = mg.tile_id and rk.bin_index = mg.bin_index and rk.p = o""",
+)
+def q_same_bin_dedup(spark, d):
+    got = T.same_bin_dedup(detections(spark, d), Q.CONFIG)
+    return got.select("tile_id", "bin_index", "cand", "merged_count", F.array_join(F.col("merged_bands").cast("array<string>"), "|").alias("merged_bands"))
+
+
+def _sql_linked() -> str:
+    """The beam linker, a CTE per bin."""
+    out = [_DETECTED, f"""le as materialized (select a.tile_id, a.cand src, b.cand dst, (b.bin_index - a.bin_index)::int gap, b.bin_index bb, b.sigma sg, {Q.sql_sep('a.c_ra', 'a.c_dec', 'b.c_ra', 'b.c_dec')} sep, (b.t_mid - a.t_mid) / {Q.YEAR} yr
+  from fd a join fd b on a.tile_id = b.tile_id and b.bin_index - a.bin_index between 1 and 2),
+lf as materialized (select *, sep / yr * 1e0 + 0.5e0 * (gap - 1) penalty from le where yr > 0 and sep <= yr)"""]
+    for b in range(len(_EDGES) - 1):
+        own = f"select tile_id, cand, 0 skips, 5 rk, 1 len, sigma score, [cand] path from fd where bin_index = {b}"
+        if b:
+            past = " union all ".join(f"select * from l{k}" for k in range(max(0, b - 2), b))
+            own += f""" union all select tile_id, cand, skips, rk, len, score, path from (select *, row_number() over (partition by tile_id, cand, skips order by len desc, score desc, gap, src, prk)::int rk from (
+  select s.tile_id, e.dst cand, s.skips + e.gap - 1 skips, s.len + 1 len, s.score + e.sg - e.penalty score, list_append(s.path, e.dst) path, e.gap, e.src, s.rk prk from ({past}) s join lf e on e.tile_id = s.tile_id and e.src = s.cand and e.bb = {b} where s.skips + e.gap - 1 <= 2)) where rk <= 4"""
+        out.append(f"l{b} as materialized ({own})")
+    every = " union all ".join(f"select * from l{b}" for b in range(len(_EDGES) - 1))
+    out.append(f"""lt as materialized (select tile_id, row_number() over (partition by tile_id order by len desc, score desc, cand, skips, rk)::int track, len, score, path from ({every}) where len >= 5)""")
+    return ",\n".join(out)
+
+
+_KEPT = """ls as materialized (select tile_id, track, len, unnest(path) cand from lt),
+lp as (select a.tile_id, a.track a, b.track b, count(*) c from ls a join ls b on a.tile_id = b.tile_id and a.cand = b.cand and a.track < b.track group by a.tile_id, a.track, b.track, a.len, b.len having count(*) >= 0.8 * least(a.len, b.len)),
+la as (select tile_id, b track, list(a) nb from lp group by 1, 2),
+lz as materialized (select lt.tile_id, lt.track, coalesce(nb, []) nb from lt left join la on la.tile_id = lt.tile_id and la.track = lt.track),
+lg(tile_id, k, kept) as (select distinct tile_id, 0, []::int[] from lz union all select lg.tile_id, k + 1, case when list_has_any(kept, nb) then kept else list_append(kept, k + 1) end from lg join lz on lz.tile_id = lg.tile_id and lz.track = k + 1),
+lk as materialized (select tile_id, unnest(kept) track from (select tile_id, arg_max(kept, k) kept from lg group by 1))"""
+
+
+def _linked(spark, d: str):
+    keep = Durable(spark, "detections")
+    c = keep.put(detections(spark, d))
+    return c, keep.put(T.link_tracks(c, T.link_edges(c, Q.CONFIG), Q.CONFIG))
+
+
+@R.add("q_link_tracks", f"with {_sql_linked()} select tile_id, track, len length, round(score, 6) score, array_to_string(path, '-') path from lt")
+def q_link_tracks(spark, d):
+    t = _linked(spark, d)[1]
+    return t.select("tile_id", "track", "length", r6("score", "score"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+
+
+@R.add("q_track_neardup", f"with recursive {_sql_linked()}, {_KEPT} select tile_id, track from lk")
+def q_track_neardup(spark, d):
+    return T.drop_near_duplicates(_linked(spark, d)[1], Q.CONFIG).select("tile_id", "track")
+
+
+@R.add(
+    "q_track_records",
+    f"""with recursive {_sql_linked()}, {_KEPT}, rp as (select lk.tile_id, lk.track, fd.* exclude (tile_id) from lk join ls on ls.tile_id = lk.tile_id and ls.track = lk.track join fd on fd.tile_id = ls.tile_id and fd.cand = ls.cand)
+select tile_id, row_number() over (partition by tile_id order by track)::int candidate_number, count(*)::int track_length, round(arg_min(c_ra, bin_index), 6) ra_start, round(arg_max(c_ra, bin_index), 6) ra_end, sum(n_on)::int detection_band_photons,
+  array_to_string(list_sort(list(distinct list_extract([{', '.join(f"'{x}'" for x in _LABELS)}], band + 1))), '|') detected_bands, array_to_string(list(bin_index order by bin_index), '-') bin_indices from rp group by tile_id, track""",
+)
+def q_track_records(spark, d):
+    c, linked = _linked(spark, d)
+    r = T.track_records(T.drop_near_duplicates(linked, Q.CONFIG), c, Q.CONFIG)
+    text = lambda n, by: F.array_join(F.col(n).cast("array<string>"), by).alias(n)
+    return r.select("tile_id", "candidate_number", "track_length", r6("ra_start", "ra_start"), r6("ra_end", "ra_end"), "detection_band_photons", text("detected_bands", "|"), text("bin_indices", "-"))
+
+
 # ---------------------------------------------------------------- draws
 
 
