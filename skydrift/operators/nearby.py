@@ -309,16 +309,18 @@ def usable_points(points: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFr
     )
 
 
-def grow_quadtree(points: DataFrame, ra: str = "ra", dec: str = "dec", sample_rows: int = 100_000, leaves: int = 512) -> tuple[QuadTree, int]:
-    """A tree from at most about ``sample_rows`` points, and the number of all points.
+def grow_quadtree(points: DataFrame, ra: str = "ra", dec: str = "dec", sample_rows: int = 100_000, leaves: int = 512) -> QuadTree:
+    """A tree from a sample of about ``sample_rows`` points, four times as many at most.
 
-    The sample steers the partitioning only; no result depends on it.
+    The rate is set by the size Catalyst expects of the points, so one scan is enough. The sample
+    steers the partitioning only; no result depends on it.
     """
-    total = points.count()
-    share = min(1.0, sample_rows / max(1, total))
     rows = points.select(ra, dec)
-    got = (rows if share >= 1 else rows.sample(False, share, 11)).toPandas()
-    return QuadTree.grow(got[ra].to_numpy(float), got[dec].to_numpy(float), leaves), total
+    # two doubles and a header per row, and a file takes less
+    expected = float(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 16
+    share = min(1.0, sample_rows / max(1.0, expected))
+    got = (rows if share >= 1 else rows.sample(False, share, 11)).limit(4 * sample_rows).toPandas()
+    return QuadTree.grow(got[ra].to_numpy(float), got[dec].to_numpy(float), leaves)
 
 
 def _bounded(regions: DataFrame, most: int) -> pd.DataFrame | None:
@@ -360,7 +362,7 @@ def near_regions(
     spark = points.sparkSession
     side = [c for c in dict.fromkeys([*keep, *([recorded] if recorded else [])])]
     pts = usable_points(points.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(side)], F.col(ra).alias("_ra"), F.col(dec).alias("_dec")), "_ra", "_dec")
-    tree, total = grow_quadtree(pts, "_ra", "_dec", sample_rows, leaves)
+    tree = grow_quadtree(pts, "_ra", "_dec", sample_rows, leaves)
     types = [pts.schema[f"k_{i}"].dataType for i in range(len(side))]
     rec = side.index(recorded) if recorded else -1
     n_keep = len(keep)
@@ -374,7 +376,7 @@ def near_regions(
             continue
         local = _bounded(df, max_broadcast)
         if local is None:
-            parts.append(_shuffled(pts, tree, total, df, kind, n_keep, rec, schema, rows_per_task))
+            parts.append(_shuffled(pts, tree, df, kind, n_keep, rec, schema, rows_per_task))
             continue
         local = local.sort_values("_name").drop_duplicates(["_name", "_ra", "_dec", *(["_radius"] if kind == "disc" else [])])
         args = (tree, local["_ra"].to_numpy(float), local["_dec"].to_numpy(float))
@@ -414,10 +416,12 @@ def _answers(batch, kind: str, p: np.ndarray, r: np.ndarray, names: list[str], n
     yield pa.RecordBatch.from_arrays([*cols, pa.array([kind] * len(p), pa.string()), target], names=[*[f"k_{i}" for i in range(n_keep)], "near_kind", "target"])
 
 
-def _shuffled(pts: DataFrame, tree: QuadTree, total: int, regions: DataFrame, kind: str, n_keep: int, rec: int, schema: T.StructType, rows_per_task: int) -> DataFrame:
+def _shuffled(pts: DataFrame, tree: QuadTree, regions: DataFrame, kind: str, n_keep: int, rec: int, schema: T.StructType, rows_per_task: int) -> DataFrame:
     """The same for regions too many to be sent whole: both sides meet by (leaf, salt)."""
     spark = pts.sparkSession
-    salts = np.maximum(1, np.ceil(tree.share * total / rows_per_task)).astype(int)
+    salts = np.maximum(1, np.ceil(tree.share * pts.count() / rows_per_task)).astype(int)
+    # rows x leaves distances at once, in blocks of bounded size
+    blocks = lambda n: [slice(k, k + 2048) for k in range(0, n, 2048)]
     x0, x1, y0, y1 = tree.boxes()
     reach = None
     if kind == "cell":
@@ -427,8 +431,9 @@ def _shuffled(pts: DataFrame, tree: QuadTree, total: int, regions: DataFrame, ki
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = np.full(len(cx), np.inf)
             for b in batches:
-                for a, d in zip(b["_ra"].to_numpy(float), b["_dec"].to_numpy(float)):
-                    np.minimum(best, separation(cx, cy, a, d), out=best)
+                a, d = b["_ra"].to_numpy(float), b["_dec"].to_numpy(float)
+                for k in blocks(len(a)):
+                    np.minimum(best, separation(cx[None], cy[None], a[k, None], d[k, None]).min(axis=0), out=best)
             yield pd.DataFrame({"leaf": np.arange(len(cx)), "d": best})
 
         # one row per leaf: bounded by the number of leaves
@@ -445,8 +450,9 @@ def _shuffled(pts: DataFrame, tree: QuadTree, total: int, regions: DataFrame, ki
                 leaf, row = replicate(tree, disc, np.stack(box))
                 pair = np.unique(np.stack([leaf, disc[row]]), axis=1)
             else:
-                near = np.stack([separation(cx, cy, a, d) <= reach + half for a, d in zip(ra, dec)])
-                r, q = np.nonzero(near)
+                near = [np.nonzero(separation(cx[None], cy[None], ra[k, None], dec[k, None]) <= reach + half) for k in blocks(len(ra))]
+                r = np.concatenate([f[0] + 2048 * n for n, f in enumerate(near)]) if near else np.zeros(0, int)
+                q = np.concatenate([f[1] for f in near]) if near else np.zeros(0, int)
                 pair = np.stack([q, r])
             n = salts[pair[0]]
             leaf, row = np.repeat(pair[0], n), np.repeat(pair[1], n)
@@ -461,10 +467,15 @@ def _shuffled(pts: DataFrame, tree: QuadTree, total: int, regions: DataFrame, ki
         for b in batches:
             x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_ra", "_dec"))
             leaf = tree.leaf_of(x, y)
-            salt = (np.arange(len(x)) * 2654435761 >> 7) % salts[leaf]
+            # from the row itself: a task that is repeated salts it alike
+            salt = (b.column("_row").to_numpy(zero_copy_only=False) >> 7) % salts[leaf]
+            b = b.select([f for f in b.schema.names if f != "_row"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32))], names=[*b.schema.names, "leaf", "salt"])
 
-    left = pts.mapInArrow(assign, shape)
+    from pyspark.sql.types import MapType
+
+    plain = [c for c in pts.columns if not isinstance(pts.schema[c].dataType, MapType)]
+    left = pts.withColumn("_row", F.xxhash64(*plain)).mapInArrow(assign, shape)
 
     def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
         q = int(key[0].as_py())

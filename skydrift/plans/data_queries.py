@@ -61,9 +61,7 @@ def p4_class_modes(spark, d):
     return got.where("mode is not null").select("tile_id", F.col("mode").alias("event_class"), F.col("mode_rows").alias("n"))
 
 
-@R.add(
-    "p5_found",
-    """
+_SURROUNDINGS = """
 with p as (
   select run_id & 4294967295 run_id, event_id & 4294967295 event_id, ra - 360 * floor(ra / 360) ra, dec, tile_id
   from photons where ra is not null and not isnan(ra) and dec is not null and not isnan(dec) and abs(dec) <= 90
@@ -81,12 +79,20 @@ own as (
 select distinct run_id, event_id, 'source' near_kind, source_name target from near where sep <= radians(m)
 union
 select distinct run_id, event_id, 'tile', right_tile from own where tile_id is null or tile_id <> right_tile
-""",
-)
+"""
+
+
+@R.add("p5_found", _SURROUNDINGS)
 def p5_found(spark, d):
     return nearby.photon_surroundings(table(spark, d, "photons"), table(spark, d, "catalog_sources"), table(spark, d, "tiles"))
 
 
+@R.add("p5_partitioned", _SURROUNDINGS)
+def p5_partitioned(spark, d):
+    """The same where no region is broadcast: points and regions meet by leaf and salt."""
+    return nearby.photon_surroundings(table(spark, d, "photons"), table(spark, d, "catalog_sources"), table(spark, d, "tiles"), max_broadcast=0)
+
+
 _FILES = r"""
 with a as (select listing_no, size, regexp_replace(path, '^\s+|\s+$', '', 'g') path from file_listing),
 b as (select listing_no, size, case when path like 'file:%'
