@@ -16,8 +16,8 @@ and are dropped before they are embedded; so are longer windows that begin or en
 word, as the window without it is at least as near. Those are bounds, not heuristics, and spare
 nearly all of the corpus the embedding.
 
-The items are the stated query set: they are taken in blocks of ``block_items``, each block's
-windows being broadcast (their number is bounded by the block) to all documents, which are
+The items are the stated query set: they are taken in blocks of about ``block_chars`` characters (an item
+that is longer is a block of its own), each block's windows being broadcast (the block bounds their number and bytes) to all documents, which are
 read whole and never shuffled; only the few hits are.
 """
 
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,9 @@ _WORD = re.compile(r"[^\W_]+")
 _COMBINING = re.compile("[̀-ͯ]")
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 _ALIKE = str.maketrans("аеорсухіјѕԁһАВЕКМНОРСТУХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhABEKMHOPCTYXIJSovABEZHIKMNOPTYX")
+#: A number in groups of three after a first group of at most three, and one written without.
+_GROUPED = re.compile(r"(?<!\S)\d{1,3}(?: \d{3})+(?!\S)")
+_LONG = re.compile(r"(?<![^\W_])\d{4,}(?![^\W_])")
 UNKNOWN, PAD, FIRST = 0, 1, 2
 MOST_REPETITIONS = 400
 
@@ -49,7 +54,9 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = _UNSEEN.sub("", text)
         text = _COMBINING.sub("", unicodedata.normalize("NFKD", text)).translate(_ALIKE)
-    return _MARKS.sub("", text).casefold()
+    if "*" in text or "_" in text or "`" in text or "<" in text or "~" in text:
+        text = _MARKS.sub("", text)
+    return text.casefold()
 
 
 def words(text: str) -> list[str]:
@@ -58,16 +65,9 @@ def words(text: str) -> list[str]:
 
 def merged(ws: list[str]) -> list[str]:
     """The words with grouped thousands ('70', '423') as one number ('70423')."""
-    out: list[str] = []
-    open_ = False  # the last word is a number that further groups of three may continue
-    for w in ws:
-        digits = w.isdecimal()
-        if digits and len(w) == 3 and open_:
-            out[-1] += w
-        else:
-            out.append(w)
-            open_ = digits and len(w) <= 3
-    return out
+    line = " ".join(ws)
+    short = _GROUPED.sub(lambda m: m.group().replace(" ", ""), line)
+    return ws if short == line else short.split(" ")
 
 
 def readings(text: str) -> list[tuple[bool, list[str]]]:
@@ -84,7 +84,7 @@ def readings(text: str) -> list[tuple[bool, list[str]]]:
     for p in plains:
         ws = _WORD.findall(p)
         out.append((False, ws))
-        if any(len(w) > 3 and w.isdecimal() for w in ws):
+        if _LONG.search(p):
             out.append((True, merged(ws)))
     return out
 
@@ -241,24 +241,23 @@ class Detector:
     def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, edits) of every matching pair of text and item, edits the fewest seen."""
         hits: list[np.ndarray] = []
+        known, unknown = self.vocabulary.get, repeat(UNKNOWN)
+        read = [(k, m, ws) for k, text in enumerate(texts) if text for m, ws in readings(text)]
         for is_merged in (False, True):
             tables = [(n, t) for (m, n), t in self.tables.items() if m == is_merged]
             if not tables:
                 continue
-            flat: list[int] = []
-            owner: list[int] = []
+            flat = array("i")
             walls: list[int] = []  # where a text ends: no window reaches over it
-            for k, text in enumerate(texts):
-                if not text:
-                    continue
-                for m, ws in readings(text):
-                    if m == is_merged:
-                        got = [self.vocabulary.get(w, UNKNOWN) for w in ws]
-                        flat += got
-                        flat.append(UNKNOWN)
-                        walls.append(len(flat) - 1)
-                        owner += [k] * (len(got) + 1)
-            codes, owners = np.array(flat, np.int32), np.array(owner, np.int64)
+            whose: list[int] = []
+            for k, m, ws in read:
+                if m == is_merged:
+                    flat.extend(map(known, ws, unknown))
+                    walls.append(len(flat))
+                    whose.append(k)
+                    flat.append(UNKNOWN)
+            codes = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+            owners = np.repeat(np.array(whose, np.int64), np.diff(np.array([-1, *walls])))
             strange = np.concatenate(([0], np.cumsum(codes == UNKNOWN)))
             ends = np.zeros(len(codes) + 1, np.int64)
             ends[np.array(walls, np.int64) + 1] = 1
@@ -309,7 +308,7 @@ def leaked_passages(
     max_edits: int = 1,
     recall: float = 0.95,
     bits: int = 10,
-    block_items: int = 5000,
+    block_chars: int = 4_000_000,
     seed: int = 20,
 ) -> DataFrame:
     """doc_id, item_id, edits: documents that hold ``least_words`` consecutive words of an item.
@@ -322,7 +321,7 @@ def leaked_passages(
     spark = documents.sparkSession
     stated = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     # blocks by hash of the id: of about the size asked for, and all rows of an item in one
-    n_blocks = -(-stated.count() // block_items)
+    n_blocks = -(-int(stated.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // block_chars)
     block_of = F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(max(1, n_blocks)))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     schema = "doc_id long, item_id long, edits int"

@@ -141,12 +141,30 @@ def test_blocks_of_items_and_repeated_rows(spark):
     voc = vocabulary(rng, 200)
     its = [" ".join(rng.choice(voc) for _ in range(20)) for _ in range(9)]
     d = docs(spark, [its[k] for k in range(9)])
-    got = leakage.leaked_passages(d.union(d), items(spark, its).union(items(spark, its)), block_items=2)
+    got = leakage.leaked_passages(d.union(d), items(spark, its).union(items(spark, its)), block_chars=300)
     assert exact(got) == {(k, k) for k in range(9)} and got.count() == 9
     assert leakage.leaked_passages(d.limit(0), items(spark, its)).count() == 0
     assert leakage.leaked_passages(d, items(spark, its).limit(0)).count() == 0
 
 
+def test_grouped_thousands():
+    def slow(ws):
+        out, open_ = [], False
+        for w in ws:
+            digits = w.isdecimal()
+            if digits and len(w) == 3 and open_:
+                out[-1] += w
+            else:
+                out.append(w)
+                open_ = digits and len(w) <= 3
+        return out
+
+    rng = random.Random(4)
+    for _ in range(2000):
+        ws = [rng.choice(("1", "12", "345", "6789", "a", "b2", "000", "12a")) for _ in range(rng.randint(1, 9))]
+        assert leakage.merged(ws) == slow(ws)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(0)
     a, b = rng.integers(2, 5, (200, 7)), rng.integers(2, 5, (200, 7))
