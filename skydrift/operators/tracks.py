@@ -171,13 +171,25 @@ def moving(tracks: DataFrame, metrics: DataFrame, config: SearchConfig, bypass:
 
 
 def drop_near_duplicates(tracks: DataFrame, config: SearchConfig) -> DataFrame:
-    """Tracks no better track shares most of its points with (of the shorter of the two)."""
-    steps = tracks.select("tile_id", "track", F.size("path").alias("n"), F.explode("path").alias("cand"))
-    a = steps.select("tile_id", "cand", F.col("track").alias("a"), F.col("n").alias("na"))
-    b = steps.select("tile_id", "cand", F.col("track").alias("b"), F.col("n").alias("nb"))
-    common = a.join(b, ["tile_id", "cand"]).where("a < b").groupBy("tile_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    """Tracks no better track shares most of its points with (of the shorter of the two).
+
+    Two tracks that share the share asked for must share one of the rarest few points of the shorter, so tracks are
+    paired by these, not by every point that many have; the points in common are counted for those pairs.
+    """
+    where = ["tile_id", "cand"]
+    steps = tracks.select("tile_id", "track", F.size("path").alias("n"), F.explode(F.array_distinct("path")).alias("cand"))
+    often = steps.groupBy(*where).agg(F.count(F.lit(1)).alias("_often"))
+    rank = F.row_number().over(W.partitionBy("tile_id", "track").orderBy("_often", "cand"))
+    least = F.ceil(F.lit(config.near_duplicate) * F.col("n") - 1e-9)
+    first = steps.join(often, where).withColumn("_rank", rank).where(F.col("_rank") <= F.col("n") - least + 1)
+    a = first.select(*where, F.col("track").alias("a"), F.col("n").alias("na"))
+    b = steps.select(*where, F.col("track").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, where).where("a <> b and na <= nb").select("tile_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    path = lambda c: tracks.select("tile_id", F.col("track").alias(c), F.col("path").alias(f"p{c}"))
+    both = met.join(path("a"), ["tile_id", "a"]).join(path("b"), ["tile_id", "b"])
+    close = F.size(F.array_intersect("pa", "pb")) >= config.near_duplicate * F.least(F.size("pa"), F.size("pb"))
     key = lambda c: F.struct("tile_id", F.col(c).alias("t"))
-    edges = common.where(F.col("c") >= config.near_duplicate * F.least("na", "nb")).select(key("a").alias("a"), key("b").alias("b"))
+    edges = both.where(close).select(key("a").alias("a"), key("b").alias("b"))
     chosen = greedy_keep(tracks.select(key("track").alias("node")), edges).where(F.col("node") == F.col("keeper"))
     return tracks.join(chosen.select("node.tile_id", F.col("node.t").alias("track")), ["tile_id", "track"], "left_semi")
 
