@@ -12,7 +12,7 @@ any list has them), every end of a street that a number, a unit, a town or a pos
 The bounds on a segment are stated below; what is longer is no candidate.
 
 The weights are fitted by maximum likelihood on a bounded, documented number of sentences that
-``pii_training`` generates. They are fitted in a few seconds when first needed; no document is
+``pii_training`` generates (which says where these come from). They are fitted in a few seconds when first needed; no document is
 read for it and no weight is stored.
 """
 

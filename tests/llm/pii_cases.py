@@ -88,3 +88,33 @@ CASES = (
     "Sergeant {name|Kowalczyk} filed report 2023-00417.",
     "Ask {name|Beatriz} for the key; her extension is 417.",
 )
+
+#: Written after the model was finished, measured once and not used to change it.
+FRESH = (
+    "The orchestra hired {name|Valentina Moretti} as first violin.",
+    "Landlord: {name|Casper Whitlow}, {address|73 Juniper Hill, Bath BA2 4QX}",
+    "Please collect the glasses from {name|Ms. Oyelaran}.".replace("{name|Ms. Oyelaran}", "Ms. {name|Oyelaran}"),
+    "The dentist, Dr. {name|Hugo Brennecke}, retires in June.",
+    "Whoever finds the dog should ring {phone|(503) 555-0148}.",
+    "The bakery on the corner closes at noon on Saturdays.",
+    "{name|Gudrun} told {name|Anselm Rietz} that the boat leaks.",
+    "Complaints go to {email|help@ferry-lines.example}, not to the captain.",
+    "Passport {id_number|YB1234567} was found under seat 14C.",
+    "The scholarship was won by {name|Thandiwe Nkosi} of Durban.",
+    "The Ringwood Theatre shows three plays in autumn.",
+    "Kiefer wood is soft, oak is hard.",
+    "In reply to {name|L. Abernathy}, the committee raised the fee.",
+    "Die Bäckerei {DUMMY|}liefert an {address|Gartenweg 18, 99084 Erfurt}.".replace("{DUMMY|}", ""),
+    "Herr {name|Ottokar Wenzel} vermietet die Wohnung im dritten Stock.",
+    "Das Freibad öffnet im Mai, der Eintritt kostet vier Euro.",
+    "La voisine, {name|Capucine Lefort}, garde le chat.",
+    "Le facteur cherche le {address|8, impasse du Lavoir, 35000 Rennes}.",
+    "Le marché du samedi a lieu sur la grande place.",
+    "El portero {name|Nicanor Pizarro} tiene las llaves.",
+    "La reunión es en {address|Plaza del Trigo 4, 09003 Burgos}.",
+    "El tren de Zaragoza llega a las ocho.",
+    "Her social security number, {id_number|078-05-1120}, was on the form.",
+    "Lot 4402-118 was sold for 310 euros.",
+    "Notes by {name|Imogen Fairweather} and {name|Tariq Haddad}, typed by {name|Sylvie}.",
+    "Reach the harbour office on {phone|+44 1326 555 018}.",
+)

@@ -7,7 +7,7 @@ import pytest
 
 from skydrift.llm import leakage, mixing, pii
 from skydrift.llm.pii_training import labelled_texts
-from tests.llm.pii_cases import CASES
+from tests.llm.pii_cases import CASES, FRESH
 
 PEOPLE = [("Mirelle", "Pettigroom", "Eastmere"), ("Corvin", "Hörnstett", "Kestrel Bay"), ("Neva", "Ashgrove-Pell", None), (None, None, "Upper Tansy")]
 
@@ -292,6 +292,12 @@ def test_accuracy_on_sentences_of_other_origin():
         assert tp / (tp + fp) > (0.85 if kind == "name" else 0.95) and tp / (tp + fn) > {"name": 0.75, "id_number": 0.85}.get(kind, 0.95), (kind, tp, fp, fn)
 
 
+def test_accuracy_on_sentences_never_used_for_the_model():
+    n = scored(pii.fitted(pii.Lexicon.of([])), [marked(c) for c in FRESH])
+    for kind, (tp, fp, fn) in n.items():
+        assert tp / (tp + fp) > 0.85 and tp / (tp + fn) > (0.65 if kind == "name" else 0.95), (kind, tp, fp, fn)
+
+
 def test_names_no_list_has():
     model = pii.fitted(pii.Lexicon.of([]))
     text = "We met Alice Zimmerman at the dome. He lives at Via Roma 12, 00184 Roma."
