@@ -65,12 +65,10 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", keep: Durable
         tree = keep.put(hook)
         size = tree.count()
         # of a mutual pair the smaller is the root
-        back = tree.select(F.col("u").alias("root"), F.col("root").alias("back"))
         pairs = lookup(tree.withColumnRenamed("root", "p"), "p", tree, size)
         rooted = keep.put(
             pairs.select("u", F.when((F.col("root") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("root"))
         )
-        del back
         keep.drop(tree)
         tree = rooted
         while True:
