@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -54,16 +56,24 @@ def same_bin_dedup(candidates: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def link_edges(candidates: DataFrame, config: SearchConfig) -> DataFrame:
-    """tile_id, src, dst, gap, penalty: pairs one or two bins apart that a source could travel between."""
-    a = candidates.select("tile_id", F.col("cand").alias("src"), F.col("bin_index").alias("_b"), F.col("t_mid").alias("_t"), F.col("c_ra").alias("_r"), F.col("c_dec").alias("_d"))
-    a = a.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in range(1, config.max_gap + 1)]))).withColumn("bin_index", F.col("_b") + F.col("gap"))
-    b = candidates.select("tile_id", "bin_index", F.col("cand").alias("dst"), "t_mid", "c_ra", "c_dec")
-    years = (F.col("t_mid") - F.col("_t")) / YEAR_SECONDS
+    """tile_id, src, dst, gap, penalty: pairs one or two bins apart that a source could travel between.
+
+    A tile has few candidates in a bin, so strips of declination of twice the reach do: earlier candidates go to two of them, not to eight cubes.
+    """
+    placed = [c.isNotNull() & ~F.isnan(c) for c in (F.col("c_ra"), F.col("c_dec"))]
+    known = candidates.where(placed[0] & placed[1])
     mids = [(x + y) / 2 for x, y in zip(bin_edges(config.bin_days), bin_edges(config.bin_days)[1:])]
     longest = max([y - x for g in range(1, config.max_gap + 1) for x, y in zip(mids, mids[g:])], default=0.0) / YEAR_SECONDS
-    reach = F.lit(max(1e-6, config.link_degrees_per_year * longest))
-    near = (years > 0) & (F.col("sep") <= config.link_degrees_per_year * years)
-    met = near_pairs(a, b, ("tile_id", "bin_index"), reach, ("_r", "_d"), ("c_ra", "c_dec"), near)
+    reach = max(1e-6, config.link_degrees_per_year * longest) * (1 + 1e-9)
+    at = lambda c: F.col(c) / (2 * reach)
+    own = F.floor(at("_d"))
+    a = known.select("tile_id", F.col("cand").alias("src"), F.col("bin_index").alias("_b"), F.col("t_mid").alias("_t"), F.col("c_ra").alias("_r"), F.col("c_dec").alias("_d"))
+    a = a.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in range(1, config.max_gap + 1)]))).withColumn("bin_index", F.col("_b") + F.col("gap")).drop("_b")
+    a = a.withColumn("_strip", F.explode(F.array(own, own + F.when(at("_d") - own >= 0.5, 1).otherwise(-1))))
+    b = known.select("tile_id", "bin_index", F.col("cand").alias("dst"), "t_mid", "c_ra", "c_dec", F.floor(at("c_dec")).alias("_strip"))
+    years = (F.col("t_mid") - F.col("_t")) / YEAR_SECONDS
+    met = a.join(b, ["tile_id", "bin_index", "_strip"]).where((years > 0) & (F.abs(F.col("c_dec") - F.col("_d")) <= reach))
+    met = met.withColumn("sep", sphere.separation(*[F.col(c) for c in ("_r", "_d", "c_ra", "c_dec")])).where(F.col("sep") <= config.link_degrees_per_year * years)
     bin_years = config.bin_days * 86400.0 / YEAR_SECONDS
     return met.select("tile_id", "src", "dst", "gap", (F.col("sep") / years * bin_years + config.gap_penalty * (F.col("gap") - 1)).alias("penalty"))
 
@@ -98,6 +108,7 @@ def link_tracks(candidates: DataFrame, edges: DataFrame, config: SearchConfig) -
     every = layers[0]
     for b in range(1, n_bins):
         every = every.unionByName(layers[b])
+    keep.drop(c, e)
     order = W.partitionBy("tile_id").orderBy(F.desc("length"), F.desc("score"), "cand", "skips", "rank")
     return every.where(F.col("length") >= config.least_length).withColumn("track", F.row_number().over(order)).select("tile_id", "track", "length", "score", "path")
 
@@ -173,25 +184,36 @@ def moving(tracks: DataFrame, metrics: DataFrame, config: SearchConfig, bypass:
 def drop_near_duplicates(tracks: DataFrame, config: SearchConfig) -> DataFrame:
     """Tracks no better track shares most of its points with (of the shorter of the two).
 
-    Two tracks that share the share asked for must share one of the rarest few points of the shorter, so tracks are
-    paired by these, not by every point that many have; the points in common are counted for those pairs.
+    A busy tile has thousands of tracks and millions of pairs of them, so pairs are never listed: the tracks of a tile stream
+    by in order, each met only by kept ones. Two tracks that share the share asked for must share one of any few points of
+    the new one, so kept tracks are looked up by the points of it that fewest of them have.
     """
-    where = ["tile_id", "cand"]
-    steps = tracks.select("tile_id", "track", F.size("path").alias("n"), F.explode(F.array_distinct("path")).alias("cand"))
-    often = steps.groupBy(*where).agg(F.count(F.lit(1)).alias("_often"))
-    rank = F.row_number().over(W.partitionBy("tile_id", "track").orderBy("_often", "cand"))
-    least = F.ceil(F.lit(config.near_duplicate) * F.col("n") - 1e-9)
-    first = steps.join(often, where).withColumn("_rank", rank).where(F.col("_rank") <= F.col("n") - least + 1)
-    a = first.select(*where, F.col("track").alias("a"), F.col("n").alias("na"))
-    b = steps.select(*where, F.col("track").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, where).where("a <> b and na <= nb").select("tile_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    path = lambda c: tracks.select("tile_id", F.col("track").alias(c), F.col("path").alias(f"p{c}"))
-    both = met.join(path("a"), ["tile_id", "a"]).join(path("b"), ["tile_id", "b"])
-    close = F.size(F.array_intersect("pa", "pb")) >= config.near_duplicate * F.least(F.size("pa"), F.size("pb"))
-    key = lambda c: F.struct("tile_id", F.col(c).alias("t"))
-    edges = both.where(close).select(key("a").alias("a"), key("b").alias("b"))
-    chosen = greedy_keep(tracks.select(key("track").alias("node")), edges).where(F.col("node") == F.col("keeper"))
-    return tracks.join(chosen.select("node.tile_id", F.col("node.t").alias("track")), ["tile_id", "track"], "left_semi")
+    share, names = config.near_duplicate, tracks.columns
+    tile, path = names.index("tile_id"), names.index("path")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, by_point, shortest = None, [], {}, 0
+        for batch in batches:
+            paths = batch.column(path)
+            ends, points = paths.offsets.tolist(), paths.values.tolist()
+            good = []
+            for row, t in enumerate(batch.column(tile).to_pylist()):
+                if t != now:
+                    now, kept, by_point, shortest = t, [], {}, math.inf
+                own = points[ends[row] : ends[row + 1]]
+                n, own_set = len(own), set(own)
+                fewest = sorted([by_point.setdefault(c, []) for c in own_set], key=len)
+                look = len(own_set) - math.ceil(share * min(n, shortest) - 1e-9) + 1
+                fine = not any(len(own_set & s) >= share * min(n, m) for at in fewest[: max(0, look)] for s, m in map(kept.__getitem__, at))
+                good.append(fine)
+                if fine:
+                    for at in fewest:
+                        at.append(len(kept))
+                    kept.append((own_set, n))
+                    shortest = min(shortest, n)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return tracks.repartition("tile_id").sortWithinPartitions("tile_id", "track").mapInArrow(best, tracks.schema)
 
 
 def track_records(tracks: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:

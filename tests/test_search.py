@@ -153,6 +153,24 @@ def test_linker_equals_the_sequential_one(spark):
     assert got == sequential_links(cands, edges, cfg) and got
 
 
+def test_near_duplicates_of_busy_tiles_are_never_paired(spark):
+    """Kept tracks as one by one, from a plan without a join: a busy tile's pairs outgrow any disk."""
+    rng = random.Random(3)
+    rows, want = [], set()
+    for tile, n_points in (("busy", 30), ("a", 14), ("b", 400)):
+        kept = []
+        for k in range(1, 300):
+            path = rng.sample(range(n_points), rng.randint(5, 10))
+            rows.append((tile, k, path))
+            if all(len({*path} & {*p}) < 0.8 * min(len(path), len(p)) for p in kept):
+                kept.append(path)
+                want.add((tile, k))
+    rng.shuffle(rows)
+    got = tracks.drop_near_duplicates(spark.createDataFrame(rows, "tile_id string, track int, path array<int>"), SearchConfig())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.tile_id, r.track) for r in got.collect()} == want and len(want) < len(rows)
+
+
 def test_motion_metrics_against_linear_algebra(spark):
     rng = np.random.default_rng(1)
     rows, want = [], {}
