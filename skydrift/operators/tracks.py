@@ -8,13 +8,14 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skydrift.config import WINDOW_START, YEAR_SECONDS, SearchConfig, band_label, bin_edges
 from skydrift.functions import sphere
 from skydrift.operators.components import components
 from skydrift.operators.greedy import greedy_keep
 from skydrift.operators.radius_join import by_band, near_pairs
-from skydrift.runtime import Durable
 
 
 def bin_times(bin_index: Column, days: float) -> tuple[Column, Column, Column]:
@@ -58,22 +59,16 @@ def same_bin_dedup(candidates: DataFrame, config: SearchConfig) -> DataFrame:
 def link_edges(candidates: DataFrame, config: SearchConfig) -> DataFrame:
     """tile_id, src, dst, gap, penalty: pairs one or two bins apart that a source could travel between.
 
-    A tile has few candidates in a bin, so strips of declination of twice the reach do: earlier candidates go to two of them, not to eight cubes.
+    A bin of a tile has some hundred candidates at most, so they are compared as they are, without copies for cubes of the sky.
     """
-    placed = [c.isNotNull() & ~F.isnan(c) for c in (F.col("c_ra"), F.col("c_dec"))]
-    known = candidates.where(placed[0] & placed[1])
-    mids = [(x + y) / 2 for x, y in zip(bin_edges(config.bin_days), bin_edges(config.bin_days)[1:])]
-    longest = max([y - x for g in range(1, config.max_gap + 1) for x, y in zip(mids, mids[g:])], default=0.0) / YEAR_SECONDS
-    reach = max(1e-6, config.link_degrees_per_year * longest) * (1 + 1e-9)
-    at = lambda c: F.col(c) / (2 * reach)
-    own = F.floor(at("_d"))
+    known = candidates.where("c_ra is not null and c_dec is not null and not isnan(c_ra) and not isnan(c_dec)")
     a = known.select("tile_id", F.col("cand").alias("src"), F.col("bin_index").alias("_b"), F.col("t_mid").alias("_t"), F.col("c_ra").alias("_r"), F.col("c_dec").alias("_d"))
     a = a.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in range(1, config.max_gap + 1)]))).withColumn("bin_index", F.col("_b") + F.col("gap")).drop("_b")
-    a = a.withColumn("_strip", F.explode(F.array(own, own + F.when(at("_d") - own >= 0.5, 1).otherwise(-1))))
-    b = known.select("tile_id", "bin_index", F.col("cand").alias("dst"), "t_mid", "c_ra", "c_dec", F.floor(at("c_dec")).alias("_strip"))
+    b = known.select("tile_id", "bin_index", F.col("cand").alias("dst"), "t_mid", "c_ra", "c_dec")
     years = (F.col("t_mid") - F.col("_t")) / YEAR_SECONDS
-    met = a.join(b, ["tile_id", "bin_index", "_strip"]).where((years > 0) & (F.abs(F.col("c_dec") - F.col("_d")) <= reach))
-    met = met.withColumn("sep", sphere.separation(*[F.col(c) for c in ("_r", "_d", "c_ra", "c_dec")])).where(F.col("sep") <= config.link_degrees_per_year * years)
+    far = config.link_degrees_per_year * years
+    met = a.join(b, ["tile_id", "bin_index"]).where((years > 0) & (F.abs(F.col("c_dec") - F.col("_d")) <= far + 1e-6))
+    met = met.withColumn("sep", sphere.separation(*[F.col(c) for c in ("_r", "_d", "c_ra", "c_dec")])).where(F.col("sep") <= far)
     bin_years = config.bin_days * 86400.0 / YEAR_SECONDS
     return met.select("tile_id", "src", "dst", "gap", (F.col("sep") / years * bin_years + config.gap_penalty * (F.col("gap") - 1)).alias("penalty"))
 
@@ -81,36 +76,66 @@ def link_edges(candidates: DataFrame, config: SearchConfig) -> DataFrame:
 def link_tracks(candidates: DataFrame, edges: DataFrame, config: SearchConfig) -> DataFrame:
     """tile_id, track (order by falling length, then score), length, score, path: all tracks long enough.
 
-    A layered dynamic programme: bins in turn, each candidate keeping per number of skipped bins
-    its few best ways to be reached, plus the way that begins with it. Ties fall as they would if
-    predecessors were tried by gap, number and rank.
+    A layered dynamic programme per tile: bins in turn, each candidate keeping per number of skipped bins
+    its few best ways to be reached, plus the way that begins with it. Ties fall by gap, number and rank of the predecessor.
+    Candidates and edges are shuffled once, by tile, which they pass through in order; ways are made and dropped there,
+    as there are a dozen times as many as candidates. Sigma is a number.
     """
-    keep = Durable(candidates.sparkSession, "links")
-    n_bins = len(bin_edges(config.bin_days)) - 1
-    c = keep.put(candidates.select("tile_id", "cand", "bin_index", "sigma"))
-    e = keep.put(edges.join(c.select("tile_id", F.col("cand").alias("dst"), F.col("bin_index").alias("_bin"), F.col("sigma").alias("_sigma")), ["tile_id", "dst"]))
-    layers: dict[int, DataFrame] = {}
-    for b in range(n_bins):
-        own = c.where(F.col("bin_index") == b)
-        start = own.select("tile_id", "cand", F.lit(0).alias("skips"), F.lit(config.beam + 1).alias("rank"), F.lit(1).alias("length"), F.col("sigma").alias("score"), F.array("cand").alias("path"))
-        before = [layers[p] for p in range(max(0, b - config.max_gap), b)]
-        if before:
-            past = before[0]
-            for p in before[1:]:
-                past = past.unionByName(p)
-            s = past.select("tile_id", F.col("cand").alias("src"), F.col("skips").alias("_k"), F.col("rank").alias("_rank"), F.col("length").alias("_len"), F.col("score").alias("_score"), F.col("path").alias("_path"))
-            ext = e.where(F.col("_bin") == b).join(s, ["tile_id", "src"]).withColumn("skips", F.col("_k") + F.col("gap") - 1).where(F.col("skips") <= config.max_skips)
-            ext = ext.withColumn("length", F.col("_len") + 1).withColumn("score", F.col("_score") + F.col("_sigma") - F.col("penalty"))
-            best = W.partitionBy("tile_id", "dst", "skips").orderBy(F.desc("length"), F.desc("score"), "gap", "src", "_rank")
-            top = ext.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.beam)
-            start = top.select("tile_id", F.col("dst").alias("cand"), "skips", "rank", "length", "score", F.concat("_path", F.array("dst")).alias("path")).unionByName(start)
-        layers[b] = keep.put(start)
-    every = layers[0]
-    for b in range(1, n_bins):
-        every = every.unionByName(layers[b])
-    keep.drop(c, e)
-    order = W.partitionBy("tile_id").orderBy(F.desc("length"), F.desc("score"), "cand", "skips", "rank")
-    return every.where(F.col("length") >= config.least_length).withColumn("track", F.row_number().over(order)).select("tile_id", "track", "length", "score", "path")
+    beam, max_skips, least, n_bins = config.beam, config.max_skips, config.least_length, len(bin_edges(config.bin_days)) - 1
+    kinds = dict(candidates.dtypes)
+    shape = f"tile_id {kinds['tile_id']}, track int, length int, score double, path array<{kinds['cand']}>"
+    arrow = to_arrow_schema(StructType.fromDDL(shape))
+
+    def of_tile(own: dict, steps: dict) -> list[tuple]:
+        """(-length, -score, cand, skips, rank, path) of the tracks of a tile in order."""
+        ways, long = {}, []
+        for cand in sorted(own, key=lambda c: (own[c][0], c)):
+            sigma, reached = own[cand][1], {}
+            for gap, src, penalty in steps.get(cand, ()):
+                for length, score, skips, rank, path in ways.get(src, ()):
+                    if (k := skips + gap - 1) <= max_skips:
+                        reached.setdefault(k, []).append((length - 1, -(-score + sigma - penalty), gap, src, rank, path))
+            here = ways[cand] = [(-1, -sigma, 0, beam + 1, (cand,))]
+            for k, found in reached.items():
+                found.sort()
+                here += [(w[0], w[1], k, rank, (*w[5], cand)) for rank, w in enumerate(found[:beam], 1)]
+            long += [(w[0], w[1], cand, w[2], w[3], w[4]) for w in here if -w[0] >= least]
+        return sorted(long)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], []]
+
+        def close() -> None:
+            for track, (length, score, _, _, _, path) in enumerate(of_tile(own, steps), 1):
+                for column, value in zip(out, (now, track, -length, -score, path)):
+                    column.append(value)
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, arrow.types)], schema=arrow)
+            for column in out:
+                column.clear()
+            return done
+
+        now, own, steps = None, {}, {}
+        for batch in batches:
+            for tile, cand, b, src, gap, x in zip(*[batch.column(c).to_pylist() for c in range(6)]):
+                if tile != now:
+                    close()
+                    now, own, steps = tile, {}, {}
+                    if len(out[0]) > 20_000:
+                        yield flush()
+                if src is None:
+                    if 0 <= b < n_bins:
+                        own[cand] = (b, x)
+                else:
+                    steps.setdefault(cand, []).append((gap, src, x))
+        close()
+        yield flush()
+
+    c = candidates.where("bin_index is not null").select("tile_id", "cand", "bin_index", F.lit(None).cast(kinds["cand"]).alias("src"), F.lit(0).alias("gap"), F.col("sigma").alias("x"))
+    e = edges.select("tile_id", F.col("dst").alias("cand"), F.lit(None).cast(kinds["bin_index"]).alias("bin_index"), "src", "gap", F.col("penalty").alias("x"))
+    rows = c.unionByName(e).repartition("tile_id").sortWithinPartitions("tile_id")
+    return rows.mapInArrow(link, shape)
 
 
 def track_points(tracks: DataFrame, candidates: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

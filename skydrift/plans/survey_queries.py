@@ -348,7 +348,9 @@ select tile_id, row_number() over (partition by tile_id order by track)::int can
 )
 def q_track_records(spark, d):
     c, linked = _linked(spark, d)
-    kept = Durable(spark, "kept").put(T.drop_near_duplicates(linked, Q.CONFIG))
+    keep = Durable(spark, "kept")
+    kept = keep.put(T.drop_near_duplicates(linked, Q.CONFIG))
+    keep.drop(linked)
     r = T.track_records(kept, c, Q.CONFIG)
     text = lambda n, by: F.array_join(F.col(n).cast("array<string>"), by).alias(n)
     return r.select("tile_id", "candidate_number", "track_length", r6("ra_start", "ra_start"), r6("ra_end", "ra_end"), "detection_band_photons", text("detected_bands", "|"), text("bin_indices", "-"))

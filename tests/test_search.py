@@ -171,6 +171,30 @@ def test_near_duplicates_of_busy_tiles_are_never_paired(spark):
     assert {(r.tile_id, r.track) for r in got.collect()} == want and len(want) < len(rows)
 
 
+def test_tiles_are_linked_in_one_pass(spark):
+    """Tiles that share partitions and batches come out as linked one by one; their many ways are never shuffled or sorted by Spark."""
+    rng = random.Random(11)
+    cfg, cands, edges, want = SearchConfig(least_length=3), [], [], []
+    for tile in "abcdefg":
+        own = [(k + 1, k // 3, float(rng.randint(1, 3))) for k in range(3 * rng.randint(1, 6))]
+        steps = [(s, d, bd - bs, float(rng.randint(0, 2))) for s, bs, _ in own for d, bd, _ in own if bd - bs in (1, 2) and rng.random() < 0.6]
+        cands += [(tile, *x) for x in own]
+        edges += [(tile, *x) for x in steps]
+        want += [(tile, *x) for x in sequential_links(own, steps, cfg)]
+    rng.shuffle(cands)
+    rng.shuffle(edges)
+    c = spark.createDataFrame(cands, "tile_id string, cand int, bin_index int, sigma double").repartition(3)
+    e = spark.createDataFrame(edges, "tile_id string, src int, dst int, gap int, penalty double").repartition(3)
+    got = tracks.link_tracks(c, e, cfg)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    rows = got.collect()
+    assert sorted((r.tile_id, r.length, r.score, tuple(r.path)) for r in rows) == sorted(want) and want
+    for tile in {r.tile_id for r in rows}:
+        own = sorted((r for r in rows if r.tile_id == tile), key=lambda r: r.track)
+        assert [r.track for r in own] == list(range(1, len(own) + 1)) and [(-r.length, -r.score) for r in own] == sorted((-r.length, -r.score) for r in own)
+
+
 def test_motion_metrics_against_linear_algebra(spark):
     rng = np.random.default_rng(1)
     rows, want = [], {}
