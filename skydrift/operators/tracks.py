@@ -243,16 +243,25 @@ def drop_near_duplicates(tracks: DataFrame, config: SearchConfig) -> DataFrame:
 
 def track_records(tracks: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:
     """One nested record per track, numbered per tile in order before any ownership is applied."""
-    start, stop, _ = bin_times(F.col("bin_index"), config.bin_days)
-    pts = track_points(tracks, candidates, ("n_on", "expected_bg", "band", "eps", "photons_per_band")).withColumn("t_start", start).withColumn("t_stop", stop)
+    pts = track_points(tracks, candidates, ("n_on", "expected_bg", "band", "eps", "photons_per_band"))
     labels = F.array(*[F.lit(band_label(lo, hi)) for lo, hi, _ in config.bands])
-    pts = pts.withColumn("band_label", F.element_at(labels, F.col("band") + 1))
-    point = F.struct("bin_index", "ra", "dec", "t_start", "t_stop", F.col("n_on").alias("n_photons"), "sigma", "expected_bg", F.col("band_label").alias("band"), F.col("eps").alias("epsilon_degrees"))
+    label = lambda p: F.element_at(labels, p["band"] + 1)
+
+    def point(p: Column) -> Column:
+        start, stop, _ = bin_times(p["bin_index"], config.bin_days)
+        return F.struct(
+            *[p[c].alias(c) for c in ("bin_index", "ra", "dec")], start.alias("t_start"), stop.alias("t_stop"), p["n_on"].alias("n_photons"),
+            p["sigma"].alias("sigma"), p["expected_bg"].alias("expected_bg"), label(p).alias("band"), p["eps"].alias("epsilon_degrees"),
+        )
+
     flat = pts.select("tile_id", "track", F.explode("photons_per_band").alias("k", "v")).groupBy("tile_id", "track", "k").agg(F.sum("v").cast("int").alias("v"))
     per_band = flat.groupBy("tile_id", "track").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("aperture_photons_per_band"))
-    rec = pts.groupBy("tile_id", "track").agg(
-        F.count(F.lit(1)).cast("int").alias("track_length"), F.sum("n_on").cast("int").alias("detection_band_photons"),
-        F.array_sort(F.collect_set("band_label")).alias("detected_bands"), F.array_sort(F.collect_list(point)).alias("points"),
+    # times and names follow from bins and bands: put in once the points have been shuffled
+    seen = F.collect_list(F.struct("bin_index", "ra", "dec", "n_on", "sigma", "expected_bg", "band", "eps"))
+    rec = pts.groupBy("tile_id", "track").agg(F.count(F.lit(1)).cast("int").alias("track_length"), F.sum("n_on").cast("int").alias("detection_band_photons"), seen.alias("_seen"))
+    rec = rec.select(
+        "tile_id", "track", "track_length", "detection_band_photons",
+        F.array_sort(F.array_distinct(F.array_compact(F.transform("_seen", label)))).alias("detected_bands"), F.array_sort(F.transform("_seen", point)).alias("points"),
     )
     number = F.row_number().over(W.partitionBy("tile_id").orderBy("track")).cast("int")
     first, last = F.col("points")[0], F.element_at("points", -1)

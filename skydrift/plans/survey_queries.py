@@ -265,9 +265,9 @@ def detections(spark, d: str) -> DataFrame:
     p = v.select(F.concat_ws("/", "r.search_root", "r.tile_id").alias("tile_id"), F.explode("r.points").alias("p")).where("p.ra is not null and p.dec is not null")
     sigma = F.coalesce(F.nanvl(F.col("p.sigma"), F.lit(0.0)), F.lit(0.0))
     band = F.array_position(F.array(*[F.lit(x) for x in _LABELS]), F.col("p.band")).cast("int") - 1
-    one = p.select("tile_id", "p.bin_index", band.alias("band"), F.col("p.ra").alias("c_ra"), F.col("p.dec").alias("c_dec"), sigma.alias("sigma"), F.col("p.n_photons").alias("n_on"), "p.expected_bg", F.col("p.epsilon_degrees").alias("eps")).distinct()
+    one = p.select("tile_id", "p.bin_index", band.alias("band"), F.col("p.ra").alias("c_ra"), F.col("p.dec").alias("c_dec"), sigma.alias("sigma"), F.col("p.n_photons").alias("n_on"), "p.expected_bg", F.col("p.epsilon_degrees").alias("eps")).repartition("tile_id").distinct()
     label = F.row_number().over(W.partitionBy("tile_id", "bin_index", "band").orderBy("c_ra", "c_dec", "sigma", "n_on", "expected_bg"))
-    # a tile's detections are a few thousand at most
+    # a tile's detections are a few thousand at most, so they are shuffled once, by tile, for all that follows
     per_band = F.create_map(F.element_at(F.array(*[F.lit(x) for x in _LABELS]), F.col("band") + 1), F.col("n_on"))
     return T.numbered(one.withColumn("label", label), Q.CONFIG).withColumn("photons_per_band", per_band)
 
@@ -326,7 +326,10 @@ lk as materialized (select tile_id, unnest(kept) track from (select tile_id, arg
 def _linked(spark, d: str):
     keep = Durable(spark, "detections")
     c = keep.put(detections(spark, d))
-    return c, keep.put(T.link_tracks(c, T.link_edges(c, Q.CONFIG), Q.CONFIG))
+    e = keep.put(T.link_edges(c, Q.CONFIG))
+    linked = keep.put(T.link_tracks(c, e, Q.CONFIG))
+    keep.drop(e)
+    return c, linked
 
 
 @R.add("q_link_tracks", f"with {_sql_linked()} select tile_id, track, len length, round(score, 6) score, array_to_string(path, '-') path from lt")
