@@ -7,6 +7,7 @@ from pyspark.sql.functions import lit
 
 from skydrift.config import SearchConfig
 from skydrift.operators import background as B
+from skydrift.operators import caps
 from skydrift.operators import photons as P
 from skydrift.operators import seeding as S
 from skydrift.operators import tracks as T
@@ -27,23 +28,34 @@ def candidates(photons: DataFrame, catalogue: DataFrame, region: B.Region, confi
 
     photons: event_id (unique), ra, dec, energy, time_met (and zenith, event_class with ``cuts``; and
     tile_id where the region is one cap). With a table of tiles (tile_id, ra_degrees, dec_degrees,
-    analysis_radius_degrees) photons are routed to all caps and every tile is searched in one job.
+    analysis_radius_degrees) every tile is searched in one job: each place once for all caps that hold it
+    (operators.caps), or, if tiles are too many or caps too wide for that, on photons routed to all caps.
     """
     keep = Durable(photons.sparkSession, "search")
     p = P.quality_cut(photons, config.max_zenith, config.class_bit) if cuts else photons
     far = config.outer_scale * max(S.eps_of(config)) + max(config.mask_scale * max(S.eps_of(config)), config.mask_least_radius)
     if isinstance(region, DataFrame):
-        p, near = route(p, region), B.cone(catalogue, 0.0, 0.0, 181.0)
+        near = B.cone(catalogue, 0.0, 0.0, 181.0)
+        if (sky := caps.fits(region, near, config)) is not None:
+            every = keep.put(_binned(p.select("event_id", "ra", "dec", "energy", "time_met"), config).drop("time_met"))
+            return _deduplicated(keep.put(caps.detections(every, sky)), config, keep)
+        p = route(p, region)
     else:
         ra, dec, radius = region
         p, near = P.in_cap(p, ra, dec, radius), B.cone(catalogue, ra, dec, radius + far)
-    p = p.select("tile_id", "event_id", "ra", "dec", "energy", "time_met").withColumn("bin_index", P.time_bin(p["time_met"], config.bin_days))
-    p = p.withColumn("band", P.band_index(p["energy"], config.bands))
-    every = keep.put(p)
+    every = keep.put(_binned(p.select("tile_id", "event_id", "ra", "dec", "energy", "time_met"), config))
     seeds = P.crowded(every.where("band is not null"), S.GROUP, config.least_photons)
     members = keep.put(S.cluster_members(seeds, config))
     scored = keep.put(B.detections(B.significance(B.centroids(seeds, members), seeds, near, region, config), config))
-    scored = scored.join(B.aperture_counts(scored, every, config), list(B.CLUSTER), "left")
+    return _deduplicated(scored.join(B.aperture_counts(scored, every, config), list(B.CLUSTER), "left"), config, keep)
+
+
+def _binned(photons: DataFrame, config: SearchConfig) -> DataFrame:
+    p = photons.withColumn("bin_index", P.time_bin(photons["time_met"], config.bin_days))
+    return p.withColumn("band", P.band_index(p["energy"], config.bands))
+
+
+def _deduplicated(scored: DataFrame, config: SearchConfig, keep: Durable) -> DataFrame:
     first = T.same_bin_dedup(T.numbered(scored, config), config).drop("cand", "t_mid")
     return keep.put(T.numbered(first, config))
 
