@@ -26,8 +26,8 @@ from skydrift.operators.radius_join import by_band
 from skydrift.operators.seeding import eps_of
 from skydrift.runtime import Durable
 
-#: Blocks of the sky, about 13 degrees across. More photons than this are further divided by time bins.
-_BLOCKS, _PER_PART = 256, 1_000_000
+#: Blocks of the sky, about 25 degrees across. More photons than this are further divided by time bins.
+_BLOCKS, _PER_PART = 64, 400_000
 #: Tiles and sources are sent to all tasks up to these numbers, and caps up to this radius (degrees) are handled here.
 _MOST_TILES, _MOST_SOURCES, _WIDEST = 5_000, 200_000, 30.0
 #: Pairs looked at together, rows handed on together.
@@ -57,10 +57,10 @@ def _centres(n: int) -> np.ndarray:
     return np.stack([s * np.cos(turn), s * np.sin(turn), z], 1)
 
 
-def near(q: np.ndarray, q_group: np.ndarray, p: np.ndarray, p_group: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near(q: np.ndarray, q_group: np.ndarray, p: np.ndarray, p_group: np.ndarray, reach: np.ndarray, strips: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, square of the chord) of all q x p of one group within its reach (degrees), in order of i, some at a time.
 
-    q lies within 60 degrees of its middle. Groups of p are sorted in strips of the sky around it, a third of the reach high; a place and a strip leave a range of them.
+    q lies within 60 degrees of its middle. Groups of p are sorted in strips of the sky around it, ``strips`` to the reach; a place and a strip leave a range of them.
     """
     if not len(q) or not len(p):
         return
@@ -71,7 +71,7 @@ def near(q: np.ndarray, q_group: np.ndarray, p: np.ndarray, p_group: np.ndarray,
     north /= np.linalg.norm(north)
     frame = np.stack([mid, np.cross(north, mid), north], 1)
     r = np.radians(reach)
-    high = r / 3
+    high = r / strips
     per = int(math.pi / high.min()) + 16
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,9 @@ def near(q: np.ndarray, q_group: np.ndarray, p: np.ndarray, p_group: np.ndarray,
     rq, hq = r[q_group], high[q_group]
     first = np.floor((v + math.pi / 2 - rq) / hq)
     last = np.floor((v + math.pi / 2 + rq) / hq)
+    steps = int((last - first).max()) + 1
     lows, highs = [], []
-    for k in range(8):
+    for k in range(steps):
         strip = first + k
         a, b = strip * hq - math.pi / 2, (strip + 1) * hq - math.pi / 2
         away = np.maximum(0.0, np.maximum(a - v, v - b))
@@ -138,7 +139,12 @@ def _words(held: np.ndarray) -> np.ndarray:
 
 
 def _bits(words: np.ndarray, m: int) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, :m].astype(bool)
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").view(bool)[:, :m]
+
+
+def _true(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, by way of the faster one of a row."""
+    return np.divmod(np.flatnonzero(held), held.shape[1])
 
 
 class _Counts:
@@ -158,7 +164,7 @@ class _Counts:
             gone = self.rows[i, w] & ~self.points[j, w]
             at = np.flatnonzero(gone)
             if len(at):
-                row, tile = np.nonzero(_bits(gone[at].reshape(-1, 1), 64))
+                row, tile = _true(_bits(gone[at].reshape(-1, 1), 64))
                 flat = i[at][row] * self.tiles + tile + 64 * w
                 base = int(flat.min())
                 got = np.bincount(flat - base)
@@ -185,11 +191,14 @@ class Sky:
         self.flux = np.array([np.nan if x[2] is None else x[2] for x in sources], float)
         self.masks = np.maximum(config.mask_scale * self.eps, config.mask_least_radius)
         self.crowded: np.ndarray | None = None
-        self.parts = 1
+        self.parts = self.tile_parts = 1
 
-    def key(self, block: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    def block_key(self, block: np.ndarray, bins: np.ndarray) -> np.ndarray:
         return (block * self.parts + bins % self.parts).astype(np.int32)
 
+    def tile_key(self, tile: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        return (tile * self.tile_parts + bins % self.tile_parts).astype(np.int32)
+
     def held(self, x: np.ndarray, which: np.ndarray) -> np.ndarray:
         return x @ self.tiles[which].T >= np.cos(np.radians(self.radius[which])) - 1e-15
 
@@ -210,35 +219,52 @@ class Sky:
         return d[np.arange(len(x)), own][:, None] - d <= np.sin(np.radians(reach))[:, None] * self.apart[own] + 1e-12
 
     def zones(self, ra: np.ndarray, dec: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, ...]:
-        """zone_lat, zone_bins, zone_lon as of seeding.zone_columns."""
+        """zone_lat, zone_lon as of seeding.zone_columns, and the middle of the zone."""
         size = np.radians(self.eps[band] * self.config.zone_scale)
         lat = np.floor((np.radians(dec) + math.pi / 2) / size)
         middle = (lat + 0.5) * size - math.pi / 2
         bins = np.maximum(1, np.ceil(2 * math.pi * np.maximum(0.05, np.abs(np.cos(middle))) / size))
         lon = np.floor(np.mod(np.radians(ra), 2 * math.pi) / (2 * math.pi) * bins)
-        return lat.astype(np.int64), bins.astype(np.int64), lon.astype(np.int64), unit(np.degrees((lon + 0.5) / bins * 2 * math.pi), np.degrees(np.clip(middle, -math.pi / 2, math.pi / 2)))
+        return lat.astype(np.int64), lon.astype(np.int64), np.degrees((lon + 0.5) / bins * 2 * math.pi), np.degrees(np.clip(middle, -math.pi / 2, math.pi / 2))
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[..., Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """work(key, other columns) for each run of equal first columns."""
+_PACKED = "key int, data binary"
+
+
+def _packed(keys: np.ndarray, kinds: np.dtype, columns: Sequence[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys as one binary value: what is shuffled is told apart by its key only."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    rows, keys = np.empty(len(order), kinds), keys[order]
+    for name, column in zip(kinds.names, columns):
+        rows[name] = column[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(keys) > 0])
+    data = [rows[lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(keys)])]
+    yield pa.RecordBatch.from_arrays([pa.array(keys[starts], pa.int32()), pa.array(data, pa.binary())], names=["key", "data"])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], kinds: np.dtype, work: Callable[..., Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """work(key, columns) for each run of equal keys."""
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts)
+        return work(now, *[np.ascontiguousarray(rows[name]) for name in kinds.names])
+
     now, parts = None, []
     for batch in batches:
-        cols = _columns(batch)
-        cuts = (np.flatnonzero(np.diff(cols[0])) + 1).tolist()
-        for lo, hi in zip([0, *cuts], [*cuts, len(cols[0])]):
-            if hi == lo:
-                continue
-            if parts and cols[0][lo] != now:
-                yield from work(now, *[np.concatenate(c) for c in zip(*parts)])
+        for key, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if parts and key != now:
+                yield from done()
                 parts = []
-            now = cols[0][lo]
-            parts.append([c[lo:hi] for c in cols[1:]])
+            now = key
+            parts.append(np.frombuffer(data, kinds))
     if parts:
-        yield from work(now, *[np.concatenate(c) for c in zip(*parts)])
+        yield from done()
 
 
 def _rows(names: Sequence[str], columns: Sequence[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +279,13 @@ def _group_counts(sky: Sky, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         ra, dec, bins, band = _columns(batch)
         for k in range(0, len(ra), 10_000):
             s = slice(k, k + 10_000)
-            row, tile = np.nonzero(sky.held(unit(ra[s], dec[s]), np.arange(len(sky.tiles))))
+            row, tile = _true(sky.held(unit(ra[s], dec[s]), np.arange(len(sky.tiles))))
             total += np.bincount(tile * n + (bins[s] * sky.n_bands + band[s])[row], minlength=len(total))
     at = np.flatnonzero(total)
     yield from _rows(("at", "n"), (at, total[at]))
 
 
-_PLACED = "key int, event_id long, ra double, dec double, bin_index int, band int"
+_PLACED = np.dtype([("event_id", "i8"), ("ra", "f8"), ("dec", "f8"), ("bin_index", "i4"), ("band", "i4")])
 
 
 def _to_blocks(sky: Sky, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +296,11 @@ def _to_blocks(sky: Sky, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         every = _columns(batch)
         for k in range(0, len(every[0]), 10_000):
             event, ra, dec, bins, band = (x[k : k + 10_000] for x in every)
-            row, block = np.nonzero(sky.reaches(unit(ra, dec), reach[band]))
-            yield from _rows([w.split()[0] for w in _PLACED.split(", ")], (sky.key(block, bins[row]), event[row], ra[row], dec[row], bins[row], band[row]))
+            row, block = _true(sky.reaches(unit(ra, dec), reach[band]))
+            yield from _packed(sky.block_key(block, bins[row]), _PLACED, [a[row] for a in (event, ra, dec, bins, band)])
 
 
-_SEEDS = "tile int, event_id long, ra double, dec double, bin_index int, band int, core boolean"
+_SEEDS = np.dtype([*_PLACED.descr, ("core", "?")])
 
 
 def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarray, bins: np.ndarray, band: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -292,22 +318,23 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
     event, ra, dec, bins, band, x, group, held = (a[some] for a in (event, ra, dec, bins, band, x, group, held))
     tiles, words = len(which), _words(held)
     # zones, and whether they are the block's own or near enough for a photon in reach of one of its own
-    lat, wide, lon, middle = sky.zones(ra, dec, band)
-    name = np.stack([group, lat, lon], 1)
-    _, head, zone = np.unique(name, axis=0, return_index=True, return_inverse=True)
-    zone = zone.ravel()
-    eps_z = sky.eps[band[head]]
-    own_z = (middle[head] @ sky.blocks.T).argmax(1) == block
+    lat, lon, mid_ra, mid_dec = sky.zones(ra, dec, band)
+    name = (group * (int(lat.max()) + 1) + lat) * (int(lon.max()) + 1) + lon
+    _, head, zone = np.unique(name, return_index=True, return_inverse=True)
+    eps_z, middle = sky.eps[band[head]], unit(mid_ra[head], mid_dec[head])
+    d = middle @ sky.blocks.T
+    nearest = d.argmax(1)
+    own_z = nearest == block
     if not own_z.any():
         return
-    look_z = own_z | sky.reaches(middle[head], eps_z * (1 + 1.56 * c.zone_scale))[:, block]
+    look_z = own_z | (d[np.arange(len(d)), nearest] - d[:, block] <= np.sin(np.radians(eps_z * (1 + 1.56 * c.zone_scale))) * sky.apart[nearest, block] + 1e-12)
     by_zone = np.argsort(zone, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(zone[by_zone]) > 0])
     whole = np.logical_and.reduceat(held[by_zone], starts, axis=0)
     split = np.logical_or.reduceat(held[by_zone], starts, axis=0) & ~whole & look_z[:, None]
     # an entry per zone for the tiles that hold all of it, and one per tile that holds a part
     full = np.flatnonzero(look_z & whole.any(1))
-    part_z, part_t = np.nonzero(split)
+    part_z, part_t = _true(split)
     sizes = np.diff(np.r_[starts, len(zone)])
     entry_zone = np.r_[full, part_z]
 
@@ -335,14 +362,14 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
     seen[np.arange(len(full), n_e), part_t] = True
     ring, inside = _Counts(_words(seen), words, tiles), _square(guarded)
     reach = np.tile(sky.eps, sky.n_bins)
-    for i, j, d2 in near(mean, group[head][entry_zone], x, group, reach * c.outer_scale):
+    for i, j, d2 in near(mean, group[head][entry_zone], x, group, reach * c.outer_scale, 3):
         out = d2 > inside[i]
         ring.add(i[out], j[out])
     ratio = (1 - np.cos(np.radians(eps_e))) / (np.cos(np.radians(guarded)) - np.cos(np.radians(outer)))
     mu = ring.get() * ratio[:, None]
     need = np.maximum(c.min_samples, np.ceil(mu + 2.5 * np.sqrt(np.maximum(mu, 0)) + 1)).astype(np.int64)
     threshold = np.full((len(head), tiles), np.iinfo(np.int64).max)
-    at, t = np.nonzero(seen)
+    at, t = _true(seen)
     threshold[entry_zone[at], t] = need[at, t]
     # neighbours of the photons looked at
     look = np.flatnonzero(look_z[zone])
@@ -358,9 +385,9 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
     for i, j, _ in near(x[own], group[own], x[cores], group[cores], reach):
         heads = np.flatnonzero(np.r_[True, np.diff(i) > 0])
         met[i[heads]] |= np.bitwise_or.reduceat(core_words[cores[j]], heads, axis=0)
-    row, t = np.nonzero(held[own] & (core[own] | _bits(met, tiles)))
+    row, t = _true(held[own] & (core[own] | _bits(met, tiles)))
     p = own[row]
-    yield from _rows([w.split()[0] for w in _SEEDS.split(", ")], (sky.key(which[t], bins[p]), event[p], ra[p], dec[p], bins[p], band[p], core[p, t]))
+    yield from _packed(sky.tile_key(which[t], bins[p]), _SEEDS, (event[p], ra[p], dec[p], bins[p], band[p], core[p, t]))
 
 
 def connected(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -389,13 +416,14 @@ def _clusters(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.nda
         return
     label = np.arange(len(cores))
     for i, j, _ in near(x[cores], group[cores], x[cores], group[cores], reach):
-        label = connected(label, i, j)
+        once = i < j
+        label = connected(label, i[once], j[once])
     joined, at = [cores], [label]
     for i, j, d2 in near(x[rest], group[rest], x[cores], group[cores], reach):
-        o = np.lexsort((j, d2, i))
-        best = o[np.r_[True, np.diff(i[o]) > 0]] if len(o) else o
-        joined.append(rest[i[best]])
-        at.append(label[j[best]])
+        heads = np.flatnonzero(np.r_[True, np.diff(i) > 0])
+        least = np.repeat(np.minimum.reduceat(d2, heads), np.diff(np.r_[heads, len(i)]))
+        joined.append(rest[i[heads]])
+        at.append(label[np.minimum.reduceat(np.where(d2 == least, j, len(cores)), heads)])
     member, of = np.concatenate(joined), np.concatenate(at)
     o = np.argsort(member, kind="stable")  # sums in order of events, so that equal clusters of several tiles have equal places
     member, of = member[o], of[o]
@@ -412,17 +440,16 @@ def _clusters(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.nda
         c_ra = np.mod(np.degrees(np.arctan2(mean[:, 1], mean[:, 0])), 360.0)
         c_dec = np.degrees(np.arcsin(np.clip(mean[:, 2] / size, -1, 1)))
     ok = size >= 1e-12
-    columns = (np.full(len(n), key // sky.parts), g // sky.n_bands, g % sky.n_bands, number, c_ra, c_dec, n, np.bincount(of, core[member]).astype(np.int64))
+    columns = (np.full(len(n), key // sky.tile_parts), g // sky.n_bands, g % sky.n_bands, number, c_ra, c_dec, n, np.bincount(of, core[member]).astype(np.int64))
     kinds = [np.float64 if "double" in w else np.int32 for w in _CLUSTERS.split(", ")]
     yield from _rows([w.split()[0] for w in _CLUSTERS.split(", ")], [a[ok].astype(kind) for a, kind in zip(columns, kinds)])
 
 
-_LOOKED_AT = "key int, tile int, bin_index int, band int, label int, ra double, dec double, n_members int, n_core int, energy double"
+_LOOKED_AT = np.dtype([*[(n, "i4") for n in ("tile", "bin_index", "band", "label")], ("ra", "f8"), ("dec", "f8"), ("n_members", "i4"), ("n_core", "i4"), ("energy", "f8")])
 
 
 def _to_clusters(sky: Sky, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Clusters to the block of their centroid, photons (tile -1; band -1 outside all bands) to the blocks whose clusters may count them."""
-    names = [w.split()[0] for w in _LOOKED_AT.split(", ")]
     reach = np.append(np.maximum(sky.eps * sky.config.outer_scale, sky.eps.max()), sky.eps.max())
     for batch in batches:
         every = _columns(batch)
@@ -432,8 +459,8 @@ def _to_clusters(sky: Sky, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             one = np.flatnonzero(tile >= 0)
             hit[one] = False
             hit[one, (unit(ra[one], dec[one]) @ sky.blocks.T).argmax(1)] = True
-            row, block = np.nonzero(hit)
-            yield from _rows(names, (sky.key(block, bins[row]), *(a[row] for a in (tile, bins, band, label, ra, dec, n, cores, energy))))
+            row, block = _true(hit)
+            yield from _packed(sky.block_key(block, bins[row]), _LOOKED_AT, [a[row] for a in (tile, bins, band, label, ra, dec, n, cores, energy)])
 
 
 @lru_cache(64)
@@ -498,7 +525,7 @@ def _scores(sky: Sky, key: int, tile, bins, band, label, ra, dec, n_members, n_c
     on, off = _Counts(_words(seen), words, len(which)), _Counts(_words(seen), words, len(which))
     core, hole = _square(eps) * _TIE, _square(eps * c.inner_scale) / _TIE
     at = np.flatnonzero(free)
-    for i, j, d2 in near(x[at], e_bin[at] * sky.n_bands + b[at], xs, s_group, np.tile(sky.eps * c.outer_scale, sky.n_bins)):
+    for i, j, d2 in near(x[at], e_bin[at] * sky.n_bands + b[at], xs, s_group, np.tile(sky.eps * c.outer_scale, sky.n_bins), 3):
         i = at[i]
         near_ = d2 <= core[i]
         on.add(i[near_], j[near_])
@@ -593,21 +620,24 @@ def detections(every: DataFrame, sky: Sky) -> DataFrame:
     crowded = np.zeros(len(sky.tiles) * groups, bool)
     crowded[[r.at for r in found if r.n >= c.least_photons]] = True
     sky.crowded = np.ascontiguousarray(crowded.reshape(len(sky.tiles), groups).T)
-    # a photon lies in some dozen caps
+    # a photon lies in some dozen caps; of a tile only cores and what is near them are looked at
     sky.parts = max(1, min(sky.n_bins, math.ceil(sum(r.n for r in found) / 11 / _PER_PART)))
+    sky.tile_parts = math.ceil(sky.parts / 8)
     sent = spark.sparkContext.broadcast(sky)
 
-    def staged(df: DataFrame, place: Callable | None, shape: str, work: Callable, out: str) -> DataFrame:
-        placed = df.mapInArrow(lambda it: place(sent.value, it), shape) if place else df
-        first = placed.columns[0]
-        return placed.repartition(tasks, first).sortWithinPartitions(first).mapInArrow(lambda it: _by_key(it, lambda key, *a: work(sent.value, int(key), *a)), out)
+    def placed(df: DataFrame, place: Callable) -> DataFrame:
+        return df.mapInArrow(lambda it: place(sent.value, it), _PACKED)
+
+    def worked(packed: DataFrame, kinds: np.dtype, work: Callable, out: str) -> DataFrame:
+        rows = packed.repartition(tasks, "key").sortWithinPartitions("key")
+        return rows.mapInArrow(lambda it: _by_key(it, kinds, lambda key, *a: work(sent.value, key, *a)), out)
 
-    seeded = staged(seeds.select("event_id", "ra", "dec", "bin_index", "band"), _to_blocks, _PLACED, _seeds, _SEEDS)
-    clusters = keep.put(staged(seeded, None, "", _clusters, _CLUSTERS))
+    seeded = worked(placed(seeds.select("event_id", "ra", "dec", "bin_index", "band"), _to_blocks), _PLACED, _seeds, _PACKED)
+    clusters = keep.put(worked(seeded, _SEEDS, _clusters, _CLUSTERS))
     none = F.lit(-1)
     photons = every.select(none.alias("tile"), "bin_index", F.coalesce("band", none).alias("band"), none.alias("label"), "ra", "dec", none.alias("n_members"), none.alias("n_core"), "energy")
     both = photons.unionByName(clusters.withColumn("energy", F.lit(0.0)).select(photons.columns))
-    scored = staged(both, _to_clusters, _LOOKED_AT, _scores, _SCORED + "".join(f", r{r} int" for r in range(len(_REPORT))))
+    scored = worked(placed(both, _to_clusters), _LOOKED_AT, _scores, _SCORED + "".join(f", r{r} int" for r in range(len(_REPORT))))
     eps = by_band(list(sky.eps))
     inner, outer = eps * c.inner_scale, eps * c.outer_scale
     share = lambda n, of: F.col(n) / of.cast("double")
