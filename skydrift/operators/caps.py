@@ -152,7 +152,7 @@ class _Counts:
 
     def __init__(self, rows: np.ndarray, points: np.ndarray, tiles: int):
         self.rows, self.points, self.tiles = rows, points, tiles
-        self.all, self.less = np.zeros(len(rows), np.int64), np.zeros(len(rows) * tiles, np.int64)
+        self.all, self.less = np.zeros(len(rows), np.int32), np.zeros(len(rows) * tiles, np.int32)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         if not len(i):  # none is left of some pairs
@@ -330,8 +330,8 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
     look_z = own_z | (d[np.arange(len(d)), nearest] - d[:, block] <= np.sin(np.radians(eps_z * (1 + 1.56 * c.zone_scale))) * sky.apart[nearest, block] + 1e-12)
     by_zone = np.argsort(zone, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(zone[by_zone]) > 0])
-    whole = np.logical_and.reduceat(held[by_zone], starts, axis=0)
-    split = np.logical_or.reduceat(held[by_zone], starts, axis=0) & ~whole & look_z[:, None]
+    all_of, any_of = (f.reduceat(words[by_zone], starts, axis=0) for f in (np.bitwise_and, np.bitwise_or))
+    whole, split = _bits(all_of, tiles), _bits(any_of & ~all_of, tiles) & look_z[:, None]
     # an entry per zone for the tiles that hold all of it, and one per tile that holds a part
     full = np.flatnonzero(look_z & whole.any(1))
     part_z, part_t = _true(split)
@@ -366,11 +366,10 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
         out = d2 > inside[i]
         ring.add(i[out], j[out])
     ratio = (1 - np.cos(np.radians(eps_e))) / (np.cos(np.radians(guarded)) - np.cos(np.radians(outer)))
-    mu = ring.get() * ratio[:, None]
-    need = np.maximum(c.min_samples, np.ceil(mu + 2.5 * np.sqrt(np.maximum(mu, 0)) + 1)).astype(np.int64)
-    threshold = np.full((len(head), tiles), np.iinfo(np.int64).max)
     at, t = _true(seen)
-    threshold[entry_zone[at], t] = need[at, t]
+    mu = ring.get()[at, t] * ratio[at]
+    threshold = np.full((len(head), tiles), np.iinfo(np.int32).max, np.int32)
+    threshold[entry_zone[at], t] = np.maximum(c.min_samples, np.ceil(mu + 2.5 * np.sqrt(mu) + 1))
     # neighbours of the photons looked at
     look = np.flatnonzero(look_z[zone])
     found = _Counts(words[look], words, tiles)
@@ -381,11 +380,12 @@ def _seeds(sky: Sky, key: int, event: np.ndarray, ra: np.ndarray, dec: np.ndarra
     core_words = _words(core)
     own = np.flatnonzero(own_z[zone])
     cores = np.flatnonzero(core.any(1))
-    met = np.zeros((len(own), core_words.shape[1]), np.uint64)
-    for i, j, _ in near(x[own], group[own], x[cores], group[cores], reach):
+    rest = own[(words[own] & ~core_words[own]).any(1)]
+    wanted = core_words.copy()
+    for i, j, _ in near(x[rest], group[rest], x[cores], group[cores], reach):
         heads = np.flatnonzero(np.r_[True, np.diff(i) > 0])
-        met[i[heads]] |= np.bitwise_or.reduceat(core_words[cores[j]], heads, axis=0)
-    row, t = _true(held[own] & (core[own] | _bits(met, tiles)))
+        wanted[rest[i[heads]]] |= np.bitwise_or.reduceat(core_words[cores[j]], heads, axis=0)
+    row, t = _true(_bits(wanted[own] & words[own], tiles))
     p = own[row]
     yield from _packed(sky.tile_key(which[t], bins[p]), _SEEDS, (event[p], ra[p], dec[p], bins[p], band[p], core[p, t]))
 
